@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,12 @@ def session(app: str = "kinespark", master: str = "local[*]", **conf: str) -> Sp
     for k, v in {**base, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a local or shared folder)."""
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
