@@ -343,10 +343,9 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "t
 
 
 def with_digest(found: DataFrame) -> DataFrame:
-    """The contract's columns, then the longest match."""
+    """Counts and a digest of the items; the spans and longest matches stay with find_contamination."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        "longest", "longest_at", "longest_item", "longest_item_at",
     )
 
