@@ -32,5 +32,6 @@ def quantile(x: Column, p: float) -> Column:
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Correlation; NULL for a constant or a single pair."""
-    return F.nullif(F.corr(a, b), F.lit(float("nan")))
+    """Correlation of rows that have both; NULL for a constant or a single pair, where Spark's own would raise."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -93,11 +93,12 @@ def _main_axis(c: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def primary_axis(df: DataFrame, keys: Sequence[str], qp: str = "qp", qc: str = "qc") -> DataFrame:
+def primary_axis(df: DataFrame, keys: Sequence[str], qp: str = "qp", qc: str = "qc", centred: bool = True) -> DataFrame:
     """(keys, jp*, jc*): main axis of the relative rotation in both frames, its largest component positive.
 
     Unit rotation vectors are turned to the side of the trace's first and their covariance is summed by Spark. Without
-    motion the axis is z.
+    motion the axis is z. The covariance is about the mean, as published, which says nothing of a joint that turns about
+    one axis only; second moments about 0 (`centred` off) do.
     """
     out = None
     for side, q in (("jp", v.qmul(v.conj(v.quat(qp)), v.quat(qc))), ("jc", v.qmul(v.conj(v.quat(qc)), v.quat(qp)))):
@@ -110,7 +111,8 @@ def primary_axis(df: DataFrame, keys: Sequence[str], qp: str = "qp", qc: str = "
         side_of = F.when(v.dot(v.vec("__u"), v.vec("__f")) < 0, -1.0).otherwise(1.0)
         rows = v.bind(rows, __u=v.scale(v.vec("__u"), side_of))
         x, y, z = v.names("__u")
-        cov = F.array(*[F.covar_samp(a, b) for a, b in ((x, x), (y, y), (z, z), (x, y), (x, z), (y, z))])
+        spread = F.covar_samp if centred else lambda a, b: F.avg(F.col(a) * F.col(b))
+        cov = F.array(*[spread(a, b) for a, b in ((x, x), (y, y), (z, z), (x, y), (x, z), (y, z))])
         sums = df.select(*keys).distinct().join(rows.groupBy(*keys).agg(cov.alias("c")), list(keys), "left")
         found = sums.withColumn("a", _main_axis("c")).select(*keys, *[F.element_at("a", k + 1).alias(c) for k, c in enumerate(v.names(side))])
         out = found if out is None else out.join(found, list(keys))

@@ -16,7 +16,7 @@ from kinespark.operators.traces import by, whole
 
 
 def _on_grid(df: DataFrame, keys: Sequence[str], columns: Sequence[str], dt: Column, size: Column, t: str) -> DataFrame:
-    """Rows exploded to grid points: k, s (place between the row at 0 and the next at 1), and next values as n_<column>.
+    """Rows exploded to grid points: __k, __s (place between the row at 0 and the next at 1), and next values as n_<column>.
 
     Points behind the last row belong to the last step, whose line they extend.
     """
@@ -26,13 +26,13 @@ def _on_grid(df: DataFrame, keys: Sequence[str], columns: Sequence[str], dt: Col
     begin = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.ceil(F.round((F.col(t) - F.col("__t0")) / dt, 9))).cast("long")
     end = F.when(F.col("__last"), F.col("__size") - 1).otherwise(F.least(F.ceil(F.round((F.col(f"n_{t}") - F.col("__t0")) / dt, 9)).cast("long"), F.col("__size")) - 1)
     df = df.where(F.col(f"n_{t}").isNotNull()).withColumn("__from", begin).withColumn("__to", end.cast("long")).where("__to >= __from")
-    df = df.withColumn("k", F.explode(F.sequence("__from", "__to")))
-    at = F.col("__t0") + F.col("k") * dt
-    return df.withColumn("__at", at).withColumn("s", (F.col("__at") - F.col(t)) / (F.col(f"n_{t}") - F.col(t)))
+    df = df.withColumn("__k", F.explode(F.sequence("__from", "__to")))
+    at = F.col("__t0") + F.col("__k") * dt
+    return df.withColumn("__at", at).withColumn("__s", (F.col("__at") - F.col(t)) / (F.col(f"n_{t}") - F.col(t)))
 
 
 def _lerp(columns: Sequence[str]) -> list[Column]:
-    return [(F.col(c) + F.col("s") * (F.col(f"n_{c}") - F.col(c))).alias(c) for c in columns]
+    return [(F.col(c) + F.col("__s") * (F.col(f"n_{c}") - F.col(c))).alias(c) for c in columns]
 
 
 def _step(df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
@@ -51,7 +51,7 @@ def resample_imu(df: DataFrame, keys: Sequence[str], frequency: float, columns:
     stay = df.where(same).select(*keys, "i", t, *columns)
     size = F.ceil(F.round((F.col("__span") + F.least(F.col("__old"), F.lit(dt))) / dt, 9)).cast("long")
     grid = _on_grid(df.where(~same), keys, columns, F.lit(dt), size, t)
-    return stay.unionByName(grid.select(*keys, F.col("k").alias("i"), F.col("__at").alias(t), *_lerp(columns)))
+    return stay.unionByName(grid.select(*keys, F.col("__k").alias("i"), F.col("__at").alias(t), *_lerp(columns)))
 
 
 def resample_world(df: DataFrame, keys: Sequence[str], frequency: float, vectors: Sequence[str] = ("p",), q: str = "q", t: str = "t") -> DataFrame:
@@ -68,6 +68,6 @@ def resample_world(df: DataFrame, keys: Sequence[str], frequency: float, vectors
     stay = df.where("__n < 2").select(*keys, "i", t, *plain, *turned)
     size = F.rint(F.col("__span") / dt).cast("long")
     grid = _on_grid(df.where("__n >= 2"), keys, [*plain, *turned], F.lit(dt), size, t)
-    grid = v.bind(grid, __q=v.slerp(v.quat(q), v.quat(f"n_{q}"), F.col("s")))
+    grid = v.bind(grid, __q=v.slerp(v.quat(q), v.quat(f"n_{q}"), F.col("__s")))
     made = [F.col(c).alias(n) for c, n in zip(v.names("__q", v.WXYZ), turned, strict=True)]
-    return stay.unionByName(grid.select(*keys, F.col("k").alias("i"), F.col("__at").alias(t), *_lerp(plain), *made))
+    return stay.unionByName(grid.select(*keys, F.col("__k").alias("i"), F.col("__at").alias(t), *_lerp(plain), *made))

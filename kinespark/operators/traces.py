@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.functions import aggregates as agg
 from kinespark.functions import vectors as v
 
 CHANNELS = ("g", "a", "m")
@@ -235,8 +236,8 @@ def agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], channels: Sequenc
         other = v.vec(f"o_{c}")
         d = v.sub(v.vec(c), other)
         out.append(F.sqrt(F.avg(v.dot(d, d))).alias(f"{c}_rmsd"))
-        out += [F.nullif(F.corr(f"{c}{x}", f"o_{c}{x}"), F.lit(float("nan"))).alias(f"{c}_r_{x}") for x in v.XYZ]
-        out.append(F.nullif(F.corr(v.norm(v.vec(c)), v.norm(other)), F.lit(float("nan"))).alias(f"{c}_r_norm"))
+        out += [agg.pearson(F.col(f"{c}{x}"), F.col(f"o_{c}{x}")).alias(f"{c}_r_{x}") for x in v.XYZ]
+        out.append(agg.pearson(v.norm(v.vec(c)), v.norm(other)).alias(f"{c}_r_norm"))
     return both.groupBy(*keys).agg(*out)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespark.functions import vectors as v
+from kinespark.functions.aggregates import pearson
 from kinespark.operators import calibration, derivatives, filters, joints, ranktests, resample, statistics, sync, synthetic, traces
 from kinespark.plans import views
 from kinespark.plans.views import rounded
@@ -307,7 +308,7 @@ def line_method_stats(spark, sf_dir):
     long = views.line_methods(spark, sf_dir).withColumnRenamed("i", "order_key")
     both = joints.method_against_truth(long, [], ["value"], truth=1, time="order_key")
     e = both.withColumn("error", F.col("value_imu") - F.col("value_marker"))
-    out = e.groupBy("method").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error") ** 2)).alias("rmse"), F.avg(F.abs("error")).alias("mae"), F.median("error").alias("median"), F.corr("value_imu", "value_marker").alias("r"))
+    out = e.groupBy("method").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("error") ** 2)).alias("rmse"), F.avg(F.abs("error")).alias("mae"), F.median("error").alias("median"), pearson(F.col("value_imu"), F.col("value_marker")).alias("r"))
     return out.select("method", "n", *[(F.round(c, 2) + 0.0).alias(c) for c in ("rmse", "mae", "median")], (F.round("r", 6) + 0.0).alias("r"))
 
 

@@ -49,7 +49,8 @@ def _table(text: str, skip: int) -> tuple[pd.DataFrame, float | None]:
     cells = [x.split("\t") for x in lines[skip + 1 :] if x.strip()]
     frame = pd.DataFrame([row[: len(header)] + [""] * (len(header) - len(row)) for row in cells], columns=header)
     frame = frame.loc[:, [bool(c) for c in header]]
-    return frame.apply(lambda s: pd.to_numeric(s.str.strip().replace("", "nan"))), rate
+    empty = frame.apply(lambda s: s.str.strip().str.lower().isin(["", "nan"]))
+    return frame.mask(empty).apply(lambda s: pd.to_numeric(s.str.strip())), rate
 
 
 def _parse_imu(_: str, text: str) -> pd.DataFrame:
