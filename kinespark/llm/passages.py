@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import cut, keyed_text, small_batches
@@ -69,19 +69,45 @@ def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, window: int = W
     return mers[at], doc[at], at - bounds[doc[at]]
 
 
-def seeds(documents: DataFrame, id_col: str, text_col: str, k: int, window: int) -> DataFrame:
+#: Bits of a position in a packed place; a text of 2 GB, the longest that a row can hold, has fewer words.
+POSITION_BITS = 30
+
+
+class Places:
+    """A document and a position as one sortable column: a packed number if ids are close enough together, else a struct."""
+
+    def __init__(self, documents: DataFrame, id_col: str):
+        low, high = documents.agg(F.min(f"`{id_col}`"), F.max(f"`{id_col}`")).first()
+        self.low = low or 0
+        self.packed = low is None or (high - low).bit_length() + POSITION_BITS <= 63
+        self.type = "long" if self.packed else "struct<doc:long,pos:int>"
+
+    def make(self, ids: np.ndarray, pos: np.ndarray) -> pa.Array:
+        if self.packed:
+            return pa.array((ids - self.low) << POSITION_BITS | pos)
+        return pa.StructArray.from_arrays([pa.array(ids), pa.array(pos.astype(np.int32))], names=["doc", "pos"])
+
+    def doc(self, place: Column) -> Column:
+        return F.shiftright(place, POSITION_BITS) + F.lit(self.low) if self.packed else place["doc"]
+
+    def pos(self, place: Column) -> Column:
+        return place.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int") if self.packed else place["pos"]
+
+
+def seeds(documents: DataFrame, places: Places, id_col: str, text_col: str, k: int, window: int) -> DataFrame:
+    """(h, place) of all seeds."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_pylist()
             a, size = 0, 0
             for b, t in enumerate(texts):
                 size += len(t or "")
                 if size >= SHARD_BYTES // 2 or b == len(texts) - 1:
                     h, doc, pos = seeds_of(*_text_words(texts[a : b + 1]), k, window)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a + doc]), pa.array(pos.astype(np.int32))], names=["h", "doc", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), places.make(ids[a + doc], pos)], names=["h", "place"])
                     a, size = b + 1, 0
 
-    return keyed_text(documents, id_col, text_col).where("doc_id is not null").mapInArrow(work, "h long, doc long, pos int")
+    return keyed_text(documents, id_col, text_col).where("doc_id is not null").mapInArrow(work, f"h long, place {places.type}")
 
 
 # --- chains ----------------------------------------------------------------------------------------------------------
@@ -251,9 +277,12 @@ def passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     have no passages; repeats within a document do not count.
     """
     small_batches(documents.sparkSession)
-    every = seeds(documents, id_col, text_col, k, window)
-    shared = every.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).where("first.doc < last")
-    links = every.join(shared.select("h", "first"), "h").where("doc <> first.doc").select("doc", "pos", F.col("first.doc").alias("rep"), F.col("first.pos").alias("rep_pos"))
+    places = Places(documents, id_col)
+    every = seeds(documents, places, id_col, text_col, k, window)
+    first, last, here = F.col("first"), F.col("last"), F.col("place")
+    shared = every.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(places.doc(first) < places.doc(last))
+    links = every.join(shared.select("h", "first"), "h").where(places.doc(here) != places.doc(first))
+    links = links.select(places.doc(here).alias("doc"), places.pos(here).alias("pos"), places.doc(first).alias("rep"), places.pos(first).alias("rep_pos"))
     pairs = cut(chains(links, k, cost))
     texts = keyed_text(documents, id_col, text_col).where("doc_id is not null")
     both = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("a")), "doc").join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("b")), "rep").select("doc", "rep", "segments", "a", "b")
