@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinespark.llm.common import filter_rows, keyed_text, small_batches
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Words of the test items in one broadcast block (some 30 MB). Larger test sets are searched for block by block.
 BLOCK_WORDS = 1_000_000
 
