@@ -1,0 +1,222 @@
+"""Operators on single texts: benchmark passages, personal data, licenses, tokens."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+import public_tokenizers
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kinespark.llm import bpe, decontaminate, licenses, pii
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Null, empty and blank texts, ties, repeated rows, and columns whose names clash with the results'.
+ODD = [(1, None), (2, ""), (3, "  \n"), (4, "same text here"), (5, "same text here"), (5, "same text here"), (None, "no id"), (7, "é" * 3000)]
+
+
+def odd(spark, rows=ODD):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("score", "items", "fp", "component_id", "h", "n_hit", "lang", "__id"):
+        df = df.selectExpr("*", f"'x' AS `{c}`")
+    return df
+
+
+def words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+
+
+def contaminated(text, items, window=10):
+    w = words(text)
+    hit, names = [0] * len(w), set()
+    for name, item in items:
+        own = words(item)
+        k = min(window, len(own))
+        for a in range(len(own) - k + 1 if own else 0):
+            for b in range(len(w) - k + 1):
+                if w[b : b + k] == own[a : a + k]:
+                    hit[b : b + k] = [1] * k
+                    names.add(name)
+    return len(w), sum(hit), sorted(names)
+
+
+def scan(texts, items, blocks=1, **more):
+    raw = [(t or "").encode() for t in texts]
+    offsets = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
+    step = -(-len(items) // blocks)
+    made = [decontaminate.TestBlock(items[k : k + step], **more) for k in range(0, len(items), step)]
+    return decontaminate.scan(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets, made)
+
+
+text = st.lists(st.sampled_from(["a", "B", "c", "Ä", "1", "xyz", "."]), max_size=40).map(" ".join)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(text, min_size=1, max_size=6), st.lists(text, min_size=1, max_size=5), st.integers(1, 3))
+def test_windows_by_brute_force(docs, tests, blocks):
+    items = [(str(k % 4), t) for k, t in enumerate(tests)]
+    for doc, got in zip(docs, scan(docs, items, blocks, window=4), strict=True):
+        assert (got["n_words"], got["n_hit"], got["items"]) == contaminated(doc, items, 4)
+
+
+def test_words_do_not_run_on_between_documents():
+    got = scan(["one two", "three four"], [("a", "twothree"), ("b", "two three")])
+    assert [g["n_hit"] for g in got] == [0, 0]
+
+
+def test_longest_match():
+    item = " ".join(f"w{k}" for k in range(30))
+    got = scan([f"x x {' '.join(f'w{k}' for k in range(5, 20))} y"], [("a", item)])[0]
+    assert (got["longest"], got["longest_at"], got["longest_item"], got["longest_item_at"]) == (15, 2, "a", 5)
+    assert got["spans"] == [{"first": 2, "last": 16}]
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 3, 200)
+    order = decontaminate.suffix_array(x, 200)
+    assert order.tolist() == sorted(range(200), key=lambda i: x[i:].tolist())
+
+
+def test_contamination_of_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "same TEXT"), (1, "here"), (2, None), (3, "..."), (None, "id no")], "item_id long, text string")
+    got = decontaminate.with_digest(decontaminate.find_contamination(odd(spark), bench)).collect()
+    assert len(got) == len(ODD)
+    rows = {r["doc_id"]: r for r in got}
+    assert (rows[5]["n_words"], rows[5]["n_hit"], rows[5]["n_items"], rows[5]["contaminated"]) == (3, 3, 1, True)
+    assert rows[5]["items_sha256"] == hashlib.sha256(b"1").hexdigest() and rows[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert rows[1]["n_words"] == 0 and rows[None]["n_hit"] == 0
+    none = decontaminate.find_contamination(odd(spark), bench.where("false"))
+    assert none.where("n_hit > 0").count() == 0 and decontaminate.find_contamination(odd(spark).where("false"), bench).count() == 0
+    clean = decontaminate.keep_clean(odd(spark), bench)
+    assert clean.columns == odd(spark).columns and clean.where("text = 'same text here'").count() == 0 and clean.count() == 5
+
+
+# --- personal data ---
+
+
+def base(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+    find = lambda p: list(re.finditer(p, t))
+    return {
+        "email": [m.span() for m in find(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")],
+        "ip": [m.span() for m in find(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)") if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in find(r"[0-9]([\x20-]?[0-9])+") if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))],
+        "phone": [m.span() for m in find(r"\+[0-9][\x20().0-9-]+[0-9]") if 9 <= len(digits(m[0])) <= 15],
+    }
+
+
+pieces = st.lists(st.sampled_from(["@", ".", "a", "1", "25", "+", " ", "-", "(", ")", "@b.c", "4111111111111111", "x@y.z", "1.2.3", "+49 30 123456", "é", "0", "iban DE89370400440532013000", "ssn: 123-45-6789", "http://a.b/c", "Account no. 12345678", "٣"]), max_size=14).map("".join)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(pieces)
+def test_base_spans_are_those_of_the_patterns(t):
+    got = pii.spans(t)
+    assert {k: got[k] for k in pii.BASE} == base(t)
+
+
+def test_added_kinds():
+    t = "See https://x.org/a?b=1. IBAN: DE89 3704 0044 0532 0130 00, SSN 123-45-6789, SSN 000-45-6789, account no. 1234-5678-90"
+    got = pii.spans(t)
+    assert [t[a:b] for a, b in got["url"]] == ["https://x.org/a?b=1"] and [t[a:b] for a, b in got["iban"]] == ["DE89 3704 0044 0532 0130 00"]
+    assert [t[a:b] for a, b in got["ssn"]] == ["123-45-6789"] and [t[a:b] for a, b in got["account"]] == ["1234-5678-90"]
+    assert not pii.spans("IBAN DE88370400440532013000")["iban"]
+
+
+def test_redaction():
+    t = "a@b.co 10.0.0.1 x"
+    assert pii.redact(t, pii.spans(t)) == "[EMAIL] [IP] x" and pii.redact("plain", pii.spans("plain")) == "plain"
+
+
+def test_personal_data_of_odd_rows(spark):
+    got = pii.find_personal_data(odd(spark, [*ODD, (9, "a@b.co" * 2)]), with_text=True).collect()
+    assert len(got) == len(ODD) + 1 and {r["doc_id"]: r["spans"] for r in got}[9] == "email:0:7"
+    assert next(r for r in got if r["doc_id"] == 1)["redacted"] is None
+    same = pii.redact_column(odd(spark))
+    assert same.columns == odd(spark).columns and same.count() == len(ODD)
+    assert pii.find_personal_data(odd(spark).where("false")).count() == 0
+
+
+# --- licenses ---
+
+
+def test_every_template_is_found():
+    for name, wording in licenses.templates():
+        assert name in {x[0] for x in licenses.scan(f"Some words.\n{wording}\nMore words.")}, wording
+
+
+def test_versions_are_told_apart():
+    assert [x[0] for x in licenses.scan("Licensed under the Apache License, Version 1.1.")] == ["Apache-1.1"]
+    assert [x[0] for x in licenses.scan("Licensed under CC BY-NC 4.0.")] == ["CC-BY-NC-4.0"]
+
+
+def test_small_changes_and_other_texts():
+    notice = licenses.NOTICES["MIT"][2].replace("any person", "all people")
+    got = licenses.scan(notice)
+    assert got and got[0][0] == "MIT" and 0 < got[0][4] <= 3
+    assert not licenses.scan("The license plate of the car is as is.") and not licenses.scan(None)
+
+
+def test_licenses_of_odd_rows(spark):
+    got = licenses.scan_licenses(odd(spark, [*ODD, (8, "x\nReleased under the MIT License.")])).collect()
+    assert len(got) == len(ODD) + 1 and sum(r["n_licenses"] for r in got) == 1
+    assert licenses.scan_licenses(odd(spark).where("false")).count() == 0
+
+
+# --- tokens ---
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    ranks = {t: k for k, t in enumerate(bpe.load_ranks(PATH))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def ids(raw):
+    return np.frombuffer(raw, dtype="<u4").tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["the", " of", "ß", "日本", "  ", "\n", "'ll", "aaaa", "!?", "12", "\x1c", "\x85", "🙂"]), max_size=30).map("".join)))
+def test_encoding_is_the_libraries(codec, encoding, t):
+    raw = next(codec.encode([t]))
+    assert ids(raw) == encoding.encode_ordinary(t) and codec.decode(raw) == t.encode()
+
+
+def test_long_pieces(codec, encoding):
+    rng = np.random.default_rng(0)
+    for n in (31, 32, 33, 500, 5000):
+        t = "".join(rng.choice(list("abcdeßé"), n))
+        raw = t.encode()
+        assert ids(codec.merge_one(raw)) == encoding.encode_ordinary(t)
+        if len(raw) <= bpe.SHORT:
+            assert codec.merge_many([raw])[0] == codec.merge_one(raw)
+
+
+def test_a_full_cache_changes_nothing(codec, monkeypatch):
+    texts = ["alpha beta gamma"] * 3 + ["delta epsilon zeta eta theta"] * 3
+    want = list(codec.encode(texts))
+    monkeypatch.setattr(bpe, "CACHE", 4)
+    monkeypatch.setattr(bpe, "TOGETHER", 10)
+    assert list(bpe.Codec(codec.tokens, public_tokenizers.PATTERN).encode(texts)) == want
+
+
+def test_tokens_of_odd_rows(spark):
+    rows = bpe.round_trip(odd(spark), PATH, public_tokenizers.PATTERN).collect()
+    assert len(rows) == len(ODD)
+    want = {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in ODD}
+    assert all(r["decoded_sha256"] == want[r["doc_id"]] for r in rows) and sum(r["n_tokens"] == 0 for r in rows) == 2
+    back = bpe.decode(bpe.encode(odd(spark), PATH, public_tokenizers.PATTERN), PATH).collect()
+    assert {r["doc_id"]: r["text"] for r in back} == {i: t or "" for i, t in ODD}
+    assert bpe.encode(odd(spark).where("false"), PATH, public_tokenizers.PATTERN).count() == 0
