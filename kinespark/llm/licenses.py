@@ -24,7 +24,7 @@ RANKED = 4
 NEAR_LINES = 6
 
 # What a line of a license notice may hold, in lower case.
-CUES = ("licen", "copyright", "spdx", "permission is hereby", "redistribution", "warrant", "as is", "public domain", "liable")
+CUES = ("licen", "copyright", "spdx", "permission is hereby", "redistribution", "warrant", "as is", "public domain", "liable", "rights reserved")
 
 # Wordings of public licenses' notices.
 NOTICES = {
