@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 
 from kinespark.llm.common import keyed_text, small_batches
 
-#: Share of a template's words that may differ in a confirmed block, and the templates that are compared word by word.
+#: Share of a template's words that may differ in a confirmed block (versions may not), and the number of templates
+#: that are compared word by word: those that save most.
 MOST_DIFFERENT = 0.1
-RANKED = 4
+RANKED = 24
 #: Lines between cues that still belong to one block.
 NEAR_LINES = 6
 
@@ -84,15 +85,20 @@ def _templates() -> list[_Template]:
 
 
 def differences(words: list[str], want: list[str]) -> tuple[int, int, int]:
-    """Least number of words that differ (added, missing or other) in any stretch of words from the wanted ones; the stretch."""
+    """Least number of words that differ (added, missing or other) in any stretch of words from the wanted ones; the stretch.
+
+    A stretch without one of the wanted words that hold digits, such as a version, differs in all.
+    """
     best = (len(want), 0, 0)
     heads = [i for i, w in enumerate(words) if w in want[:3]]
     for i in heads:
         part = words[i : i + len(want) + max(2, len(want) // 8)]
-        same = SequenceMatcher(None, part, want, autojunk=False).get_matching_blocks()
-        last = max((m.a + m.size for m in same if m.size), default=0)
-        kept = sum(m.size for m in same)
-        n = max(last, len(want)) - kept
+        same = [m for m in SequenceMatcher(None, part, want, autojunk=False).get_matching_blocks() if m.size]
+        there = {k for m in same for k in range(m.b, m.b + m.size)}
+        if any(k not in there and any(map(str.isdigit, w)) for k, w in enumerate(want)):
+            continue
+        last = max((m.a + m.size for m in same), default=0)
+        n = max(last, len(want)) - len(there)
         if n < best[0]:
             best = (n, i, i + last)
     return best
@@ -100,18 +106,25 @@ def differences(words: list[str], want: list[str]) -> tuple[int, int, int]:
 
 @lru_cache(maxsize=4096)
 def identify(block: str) -> tuple[tuple[str, float, int], ...]:
-    """Licenses that a block states: (license, share of its compressed size that the template saves, differing words)."""
+    """Licenses that a block states: (license, share of its compressed size that the template saves, differing words).
+
+    Of the templates that save most, those with the fewest differing words come first; each takes its stretch of words.
+    """
     raw = block.encode("utf-8", "surrogatepass")
     alone = len(_PLAIN.compress(raw))
-    gains = sorted(((alone - len(t.zip.compress(raw))) / alone, k) for k, t in enumerate(_templates()))
+    gains = sorted((((alone - len(t.zip.compress(raw))) / alone, k) for k, t in enumerate(_templates())), reverse=True)
     words = split(block)
-    out: list[tuple[str, float, int]] = []
-    taken: list[tuple[int, int]] = []
-    for gain, k in gains[: -RANKED * 3 - 1 : -1]:
+    fitting = []
+    for gain, k in gains[:RANKED]:
         t = _templates()[k]
         n, a, b = differences(words, t.words)
-        if gain > 0 and n <= MOST_DIFFERENT * len(t.words) and not any(a < y and x < b for x, y in taken):
-            out.append((t.name, round(gain, 4), n))
+        if gain > 0 and n <= MOST_DIFFERENT * len(t.words):
+            fitting.append((n / len(t.words), -(b - a), -gain, k, n, a, b))
+    out: list[tuple[str, float, int]] = []
+    taken: list[tuple[int, int]] = []
+    for _, _, gain, k, n, a, b in sorted(fitting):
+        if not any(a < y and x < b for x, y in taken):
+            out.append((_templates()[k].name, round(-gain, 4), n))
             taken.append((a, b))
     return tuple(out)
 
