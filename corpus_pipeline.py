@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespark.llm import bpe, decontaminate, pii, simhash, toxicity
-from kinespark.llm.common import table
+from kinespark.llm.common import shared_folder, table
 from kinespark.llm.queries import TOKENIZER
 
 
@@ -58,20 +58,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents; what a stage leaves is written under spark.checkpoint.dir and read again."""
     docs = table(spark, sf_dir, "documents")
-    root = spark.conf.get("spark.checkpoint.dir", "") or _local_folder(spark)
+    root = shared_folder(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+            path = f"{root}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
-
-
-def _local_folder(spark: SparkSession) -> str:
-    """A temporary folder for local sessions, as in tests; a cluster has to name a shared one."""
-    import tempfile
-
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="kinespark-pipeline-")

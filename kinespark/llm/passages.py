@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import cut, keyed_text, small_batches
+from kinespark.llm.common import cut, keyed_text, small_batches, stored
 from kinespark.llm.components import connected
 from kinespark.llm.decontaminate import _LOWER, SHARD_BYTES, split_words
 
@@ -26,6 +26,10 @@ SIMILARITY = 0.8
 GAP_COST = 0.2
 #: Words between links of one diagonal that are still merged, and the longest gap that is aligned word by word.
 NEAR = 64
+#: Words on both sides of a document's links that are first sent to its partner; where these agree to their end, all are.
+REACH = 256
+#: Most pairs of which a list of ids is broadcast; the texts of more are shuffled.
+FEW = 100_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -50,9 +54,12 @@ def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, position) of each window's least k-mer; documents shorter than k words have none."""
+    """(hash, document, position) of each window's least k-mer; texts of fewer than k + window - 1 words have none.
+
+    Windows lie within a text, so its seeds do not depend on the texts around it.
+    """
     n = len(hashes)
-    if n < k:
+    if n < k + window - 1:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     mers = np.zeros(n - k + 1, dtype=np.uint64)
     for j in range(k):
@@ -64,6 +71,10 @@ def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, window: int = W
     whole = np.arange(n - k + 1) + k <= bounds[doc + 1]
     mers[~whole] = _FAR
     least = _slide(mers, window, True)
+    inside = np.zeros(len(mers), dtype=bool)
+    last = len(mers) - window + 1
+    inside[:last] = whole[window - 1 :] & (doc[:last] == doc[window - 1 :])
+    least[~inside] = 0
     top = _slide(least[::-1], window, False)[::-1]
     at = np.flatnonzero((top == mers) & whole)
     return mers[at], doc[at], at - bounds[doc[at]]
@@ -269,45 +280,98 @@ def align(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int, int]
     return x0, x1, y0, y1, equal / max(1, x1 - x0, y1 - y0)
 
 
-def passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, cost: float = GAP_COST) -> DataFrame:
-    """(doc, rep, x0, x1, y0, y1, likeness): passages, as word ranges, that a document shares with an earlier one.
+def _with_slices(pairs: DataFrame, texts: DataFrame, reach: int | None) -> DataFrame:
+    """Pairs with the words of doc from `reach` before the first link to `reach` behind the last (all words without one).
 
-    A verbatim stretch of k + window - 1 words is always seen. A passage in many documents is linked from each to the
-    least id that has it. Rows without an id take no part; rows of one id count as one document; null and short texts
-    have no passages; repeats within a document do not count.
+    start: words before the slice; left, right: whether words are missing on that side.
     """
-    small_batches(documents.sparkSession)
-    places = Places(documents, id_col)
-    every = seeds(documents, places, id_col, text_col, k, window)
-    first, last, here = F.col("first"), F.col("last"), F.col("place")
-    shared = every.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(places.doc(first) < places.doc(last))
-    links = every.join(shared.select("h", "first"), "h").where(places.doc(here) != places.doc(first))
-    links = links.select(places.doc(here).alias("doc"), places.pos(here).alias("pos"), places.doc(first).alias("rep"), places.pos(first).alias("rep_pos"))
-    pairs = cut(chains(links, k, cost))
-    texts = keyed_text(documents, id_col, text_col).where("doc_id is not null")
-    both = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("a")), "doc").join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("b")), "rep").select("doc", "rep", "segments", "a", "b")
+    joined = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("a")), "doc").select("doc", "rep", "segments", "a")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, raw, starts, ends = None, b"", None, None
+        for batch in batches:
+            keep, slices, begin, left, right = [], [], [], [], []
+            for k, (flat, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if last is None or text != last:
+                    last, raw = text, (text or "").encode("utf-8", "surrogatepass")
+                    starts, ends, _ = split_words(_LOWER[np.frombuffer(raw, dtype=np.uint8)], np.array([0, len(raw)]))
+                low, high = min(flat[1::5]), max(flat[2::5])
+                if high > len(starts):
+                    continue  # another row of a repeated id
+                if reach is None:
+                    low, high = 0, len(starts)
+                else:
+                    low, high = max(0, low - reach), min(len(starts), high + reach)
+                keep.append(k)
+                slices.append(raw[starts[low] : ends[high - 1]])
+                begin.append(low)
+                left.append(low > 0)
+                right.append(high < len(starts))
+            part = batch.take(pa.array(keep, pa.int64()))
+            made = [pa.array([s.decode("utf-8", "surrogatepass") for s in slices], pa.string()), pa.array(begin, pa.int32()), pa.array(left, pa.bool_()), pa.array(right, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(3)), *made], names=["doc", "rep", "segments", "a", "start", "left", "right"])
+
+    return joined.mapInArrow(work, "doc long, rep long, segments array<int>, a string, start int, left boolean, right boolean")
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, reach: int | None, min_words: int, similarity: float) -> DataFrame:
+    """Aligned chains that are long and alike enough, and any whose alignment came to the edge of a slice (`open`)."""
+    both = _with_slices(pairs, texts, reach).join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("b")), "rep")
+    both = both.select("doc", "rep", "segments", "a", "start", "left", "right", "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "rep", "x0", "x1", "y0", "y1", "likeness"]
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64()]
+        names = ["doc", "rep", "x0", "x1", "y0", "y1", "likeness", "open"]
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.bool_()]
+        last, b = None, None
         for batch in batches:
             out = []
-            docs, reps, flats, firsts, seconds = (batch.column(j).to_pylist() for j in range(5))
-            for d, r, flat, ta, tb in zip(docs, reps, flats, firsts, seconds, strict=True):
-                (a, _), (b, _) = _text_words([ta]), _text_words([tb])
+            for d, r, flat, ta, start, left, right, tb in zip(*(batch.column(j).to_pylist() for j in range(8)), strict=True):
+                a, _ = _text_words([ta])
+                if last is None or tb != last:
+                    last, (b, _) = tb, _text_words([tb])
                 own: dict[int, list[tuple[int, int, int, int]]] = {}
                 for i in range(0, len(flat), 5):
-                    own.setdefault(flat[i], []).append(tuple(flat[i + 1 : i + 5]))
+                    c, x0, x1, y0, y1 = flat[i : i + 5]
+                    own.setdefault(c, []).append((x0 - start, x1 - start, y0, y1))
                 for segments in own.values():
-                    if segments[-1][1] > len(a) or segments[-1][3] > len(b):
+                    if segments[-1][3] > len(b):
                         continue  # another row of a repeated id
                     x0, x1, y0, y1, like = align(a, b, segments)
-                    if min(x1 - x0, y1 - y0) >= min_words and like >= similarity:
-                        out.append((d, r, x0, x1, y0, y1, like))
+                    open_ = left and x0 < 4 and y0 > 0 or right and x1 > len(a) - 4 and y1 < len(b)
+                    if open_ or min(x1 - x0, y1 - y0) >= min_words and like >= similarity:
+                        out.append((d, r, x0 + start, x1 + start, y0, y1, like, open_))
             cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return both.mapInArrow(work, "doc long, rep long, x0 int, x1 int, y0 int, y1 int, likeness double")
+    return both.mapInArrow(work, "doc long, rep long, x0 int, x1 int, y0 int, y1 int, likeness double, open boolean")
+
+
+def passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, cost: float = GAP_COST, reach: int | None = REACH) -> DataFrame:
+    """(doc, rep, x0, x1, y0, y1, likeness): passages, as word ranges, that a document shares with an earlier one.
+
+    A verbatim stretch of k + window - 1 words is always seen. A passage in many documents is linked from each to the
+    least id that has it. Rows without an id take no part; rows of one id count as one document; null and short texts
+    have no passages; repeats within a document do not count.
+    """
+    small_batches(documents.sparkSession)
+    places = Places(documents, id_col)
+    every = seeds(documents, places, id_col, text_col, k, window)
+    first, last, here = F.col("first"), F.col("last"), F.col("place")
+    shared = every.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(places.doc(first) < places.doc(last))
+    links = every.join(stored(shared.select("h", "first")), "h").where(places.doc(here) != places.doc(first))
+    links = links.select(places.doc(here).alias("doc"), places.pos(here).alias("pos"), places.doc(first).alias("rep"), places.pos(first).alias("rep_pos"))
+    pairs = cut(chains(links, k, cost))
+    texts = keyed_text(documents, id_col, text_col).where("doc_id is not null")
+    found = cut(_aligned(pairs, texts, reach, min_words, similarity))
+    again = cut(found.where("open").select("doc", "rep").distinct())
+    n = again.count()
+    if n:  # words beyond a slice agree too: align these pairs' whole texts
+        if n <= FEW:  # 16 bytes each, so their ids can be sent to the texts
+            ids = again.select(F.explode(F.array("doc", "rep")).alias("doc_id")).distinct()
+            texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+        whole = _aligned(pairs.join(again, ["doc", "rep"], "left_semi"), texts, None, min_words, similarity)
+        found = cut(found.join(again, ["doc", "rep"], "left_anti").unionByName(whole))
+    return found.drop("open")
 
 
 def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -316,7 +380,7 @@ def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     passages: merged word ranges, start:end, comma-joined; n_words in them; n_links: documents linked directly; class_id:
     the least id that links lead to, the own one without any. Null ids have no passages and no class.
     """
-    found = cut(passages(documents, id_col=id_col, text_col=text_col, **options))
+    found = passages(documents, id_col=id_col, text_col=text_col, **options)
     sides = found.select("doc", "x0", "x1").unionByName(found.select(F.col("rep").alias("doc"), F.col("y0").alias("x0"), F.col("y1").alias("x1")))
     starts = sides.groupBy("doc", "x0").agg(F.max("x1").alias("x1"))  # no more rows than the document has words
     spans = starts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("spans"))
