@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import cut, keyed_text, small_batches
+from kinespark.llm.common import cut, keyed_text, small_batches, stored
 from kinespark.llm.components import connected
 
 BITS = 64
@@ -154,7 +154,8 @@ def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rooted = found.join(classes, found["node"] == classes["fp"]).select("node", "root", "least")
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = rooted.join(best, "root").select(F.col("node").alias("fp"), "component_id")
-    named = classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # a table of its own, so that the last join can split a fingerprint that very many documents have
+    named = stored(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
