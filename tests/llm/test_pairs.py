@@ -233,6 +233,31 @@ def test_verbatim_repeats_by_brute_force(spark, wide):
                 assert all(covered[k : k + 50])
 
 
+def test_seeds_do_not_depend_on_other_texts():
+    rng = random.Random(9)
+    texts = [prose(rng, n) for n in (5, 19, 20, 200, 8, 60)]
+    hashes, bounds = passages._text_words(texts)
+    h, doc, pos = passages.seeds_of(hashes, bounds)
+    for k, t in enumerate(texts):
+        alone = passages.seeds_of(*passages._text_words([t]))
+        assert h[doc == k].tolist() == alone[0].tolist() and pos[doc == k].tolist() == alone[2].tolist()
+    assert set(doc.tolist()) == {1, 2, 3, 5}  # shorter ones have none
+    top = max(b - a for a, b in zip(pos[doc == 3], pos[doc == 3][1:], strict=False))
+    assert top <= passages.WINDOW
+
+
+@pytest.mark.parametrize("few", [passages.FEW, 0])
+def test_slices_lead_to_the_same_passages(spark, monkeypatch, few):
+    """Texts that agree far beyond their common seeds, because others have these first, are aligned as a whole."""
+    rng = random.Random(10)
+    parts = [prose(rng, 120) for _ in range(6)]
+    rows = [(k, p) for k, p in enumerate(parts[:3])] + [(10, " ".join(parts)), (11, " ".join([prose(rng, 30), *parts, prose(rng, 30)])), (12, prose(rng, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(passages, "FEW", few)
+    found = [sorted(map(tuple, passages.passages(df, reach=r).collect())) for r in (None, 5, 256)]
+    assert found[0] == found[1] == found[2] and any(r[:2] == (11, 10) for r in found[0])
+
+
 def test_passages_of_odd_rows(spark):
     rng = random.Random(8)
     t = prose(rng, 90)
