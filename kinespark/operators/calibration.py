@@ -38,6 +38,12 @@ def wahba(df: DataFrame, keys: Sequence[str], p: str, c: str) -> DataFrame:
     return out.select(*keys, *[F.element_at("__r", k + 1).alias(f"r{k}") for k in range(9)])
 
 
+def wahba_of_all(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The rotation that fits several pairs of vectors at once, such as angular velocities and fields, each of unit length."""
+    both = F.array(*[F.struct(*[e.alias(n) for e, n in zip((*v.unit(v.vec(p)), *v.unit(v.vec(c))), (*v.names("__p"), *v.names("__c")), strict=True)]) for p, c in pairs])
+    return wahba(df.select(*keys, F.explode(both).alias("__s")).select(*keys, "__s.*"), keys, "__p", "__c")
+
+
 def align_world(df: DataFrame, keys: Sequence[str], imu: str = "g", world: str = "wg", q: str = "q") -> DataFrame:
     """World rotations turned to the sensor's frame: R_world R_offset, the offset from both angular velocities."""
     fit = v.bind(wahba(df, keys, world, imu), __o=v.from_matrix(tuple(F.col(f"r{k}") for k in range(9)))).select(*keys, *v.names("__o", v.WXYZ))

@@ -28,7 +28,7 @@ class RelativeFilter:
     """Settings of the relative filter. Deviations are squared into covariances, or put there as they are (`plain`).
 
     joint: None, '1dof' (axes in both frames coincide) or '2dof' (axes at a fixed angle); `jacobian` of the latter is
-    'reference' (the published one, in world axes) or 'corrected'. `drop_zero` leaves the second sensor out of an update
+    'published' (in world axes) or 'corrected'. `drop_zero` leaves the second sensor out of an update
     where either side reads zero.
     """
 
@@ -41,14 +41,14 @@ class RelativeFilter:
     axis_c: tuple[float, ...] | None = None
     angle: float = np.pi / 2
     joint_std: tuple[float, ...] | float | None = None
-    jacobian: str = "reference"
+    jacobian: str = "published"
 
     def __post_init__(self):
         if self.joint not in (None, "1dof", "2dof"):
             raise ValueError(f"unknown joint {self.joint!r}")
         if self.joint and (self.axis_p is None or self.axis_c is None or self.joint_std is None):
             raise ValueError("a joint needs both axes and a deviation")
-        if self.jacobian not in ("reference", "corrected"):
+        if self.jacobian not in ("published", "corrected"):
             raise ValueError(f"unknown jacobian {self.jacobian!r}")
 
     def variance(self, std) -> np.ndarray:
@@ -107,7 +107,7 @@ def measurement(f: RelativeFilter, rp: np.ndarray, rc: np.ndarray, p: list[np.nd
             wp, wc = np.einsum("nij,nj->ni", rp, up), np.einsum("nij,nj->ni", rc, uc)
             e[:, 3 * k] = np.sum(wp * wc, axis=1) - np.sin(f.angle)
             turn = np.cross(wc, wp)
-            if f.jacobian == "reference":
+            if f.jacobian == "published":
                 h[:, 3 * k] = np.hstack([turn, -turn])
             else:
                 h[:, 3 * k] = np.hstack([np.einsum("nji,nj->ni", rp, -turn), np.einsum("nji,nj->ni", rc, turn)])

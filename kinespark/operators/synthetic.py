@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kinespark.functions import rotations
 from kinespark.functions import vectors as v
 from kinespark.operators import derivatives, traces
+from kinespark.operators.joints import JOINTS
 
 # Gravity and a magnetic field in the world frame.
 GRAVITY = (0.0, 0.0, -9.81)
@@ -98,3 +99,16 @@ def pair(parent: DataFrame, other: DataFrame, joint: str = "joint") -> DataFrame
     names = [*[n for c in (*traces.CHANNELS, "p") for n in v.names(c)], *v.names("q", v.WXYZ)]
     side = lambda df, s, *more: df.select("trial", "i", *more, *[F.col(n).alias(f"{n[:-1]}{s}{n[-1]}") for n in names])
     return side(parent, "p", "t").join(side(other, "c"), ["trial", "i"]).withColumn("joint", F.lit(joint))
+
+
+def body(spark: SparkSession, trials: int = 1, duration: float = 4.0, rate: float = 100.0, seed: int = 0, noise: bool = True) -> DataFrame:
+    """(trial, segment, i, t, g a m p q): all segments of the joint catalogue, each on a free joint of its parent."""
+    columns = ["trial", "i", "t", *[n for c in (*traces.CHANNELS, "p") for n in v.names(c)], *v.names("q", v.WXYZ)]
+    made = {"pelvis_imu": traces.settled(plate(spark, trials, duration, rate, seed, noise).select(*columns))}
+    for k, (a, b) in enumerate(JOINTS.values()):
+        made[b] = traces.settled(child(made[a], "3dof", seed=seed * 100 + k, noise=noise).select(*columns))
+    out = None
+    for name, df in made.items():
+        one = df.withColumn("segment", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

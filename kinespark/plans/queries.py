@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinespark.functions import vectors as v
 from kinespark.functions.aggregates import pearson
 from kinespark.operators import calibration, derivatives, filters, joints, ranktests, resample, statistics, sync, synthetic, traces
-from kinespark.plans import views
+from kinespark.plans import study, views
 from kinespark.plans.views import rounded
 
 TRIAL = ["trial"]
@@ -411,6 +411,11 @@ def wahba_rotation(spark, sf_dir):
     return rounded(calibration.wahba(views.sensor_view(spark, sf_dir), TRIAL, "gp", "gc"))
 
 
+@query
+def wahba_of_all(spark, sf_dir):
+    return rounded(calibration.wahba_of_all(views.sensor_view(spark, sf_dir), TRIAL, [("gp", "gc"), ("mp", "mc")]))
+
+
 @query
 def align_world(spark, sf_dir):
     df = views.parent(views.sensor_view(spark, sf_dir))
@@ -522,6 +527,14 @@ def synthetic_plate(spark, sf_dir):
     return rounded(synthetic.plate(spark, 2, 4.0, seed=3, noise=False))
 
 
+@query
+def study_error_stats(spark, sf_dir):
+    """From plates to the study's table: filters, chain, joint vectors, error statistics, on seeded motion."""
+    body = synthetic.body(spark, 1, 3.0, seed=1)
+    table = study.joint_traces(study.orientations(body, ("mag on", "mag off"), ("mahony",)))
+    return rounded(study.error_tables(table)[0])
+
+
 @query
 def synthetic_joint_axis(spark, sf_dir):
     """A hinge is made and its axis found again."""

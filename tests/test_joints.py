@@ -138,7 +138,7 @@ def test_jacobians(f):
     assert np.allclose(filters.measurement(f, rp, rc, p, c)[1][0], numeric(f, rp, rc, p, c), atol=1e-4)
 
 
-def test_reference_jacobian_of_two_axes_is_in_world_axes():
+def test_published_jacobian_of_two_axes_is_in_world_axes():
     f = RelativeFilter(joint="2dof", axis_p=(0, 0.6, 0.8), axis_c=(1, 0, 0), joint_std=0.1)
     one = np.eye(3)[None]
     h = filters.measurement(f, one, one, [np.ones((1, 3))] * 2, [np.ones((1, 3))] * 2)[1][0, -1]
