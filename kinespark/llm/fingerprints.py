@@ -83,6 +83,17 @@ def merge_sketches(df: DataFrame, key: str, sketch: str, k: int = K, fan_in: int
         parts, most = cut(parts), groups
 
 
+def _cuts_below(cuts: list[float], x: Column) -> Column:
+    """How many of the sorted cuts are at most x: first among every step-th of them, then within one step."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    count = lambda values: F.size(F.filter(values, lambda c: c <= x))
+    whole = F.array(*map(F.lit, cuts))
+    coarse = count(F.array(*map(F.lit, cuts[::step])))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + count(F.slice(whole, (coarse - 1) * step + 1, step)))
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str, buckets: int | None = None) -> DataFrame:
     """Add next_text: the text of the row that follows by descending id; after the last comes the first.
 
@@ -94,20 +105,16 @@ def with_next(df: DataFrame, id_col: str, text_col: str, buckets: int | None = N
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = -(1 << 63)
     base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col), F.lit(low)).alias("__id"))
-    cuts = base.select(F.col("__id").cast("double").alias("x")).approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
+    x = F.col("__id").cast("double")
+    cuts = base.select(x.alias("x")).approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
     cuts = sorted(set(cuts))
-    steps = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    bucket = F.lit(len(cuts)) - F.size(F.filter(steps, lambda c: c <= F.col("__id").cast("double")))
-    base = base.withColumn("__bucket", bucket)
+    base = base.withColumn("__bucket", F.lit(len(cuts)) - _cuts_below(cuts, x))
     heads = {r["__bucket"]: r["head"] for r in base.groupBy("__bucket").agg(F.max("__id").alias("head")).collect()}  # a row for each bucket
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    copies = F.array(F.struct(F.col("__bucket").alias("bucket"), F.lit(0).alias("guest")))
-    if order:
-        head = F.create_map(*[F.lit(x) for b in order for x in (b, heads[b])])
-        prior = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])])
-        guest = F.struct(prior[F.col("__bucket")].alias("bucket"), F.lit(1).alias("guest"))
-        copies = F.when(head[F.col("__bucket")] == F.col("__id"), F.concat(copies, F.array(guest))).otherwise(copies)
+    at = lambda values, kind: F.element_at(F.array(*[F.lit(values.get(b)).cast(kind) for b in range(len(cuts) + 1)]), F.col("__bucket") + 1)
+    own, guest = F.struct(F.col("__bucket").alias("bucket"), F.lit(0).alias("guest")), F.struct(at(before, "int").alias("bucket"), F.lit(1).alias("guest"))
+    copies = F.when(at(heads, "long") == F.col("__id"), F.array(own, guest)).otherwise(F.array(own))
     dealt = base.withColumn("__c", F.explode(copies)).select("doc_id", "text", "__id", F.col("__c.bucket").alias("__bucket"), F.col("__c.guest").alias("__guest"))
     own = Window.partitionBy("__bucket").orderBy("__guest", F.desc("__id"), F.xxhash64("text"), "text")
     return dealt.withColumn("next_text", F.lead("text").over(own)).where("__guest = 0").select("doc_id", "text", "next_text")
