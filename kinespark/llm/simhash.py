@@ -152,7 +152,7 @@ def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected(links(classes.select("fp"), radius))
     rooted = found.join(classes, found["node"] == classes["fp"]).select("node", "root", "least")
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    best = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     joined = rooted.join(best, "root").select(F.col("node").alias("fp"), "component_id")
     # a table of its own, so that the last join can split a fingerprint that very many documents have
     named = stored(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
@@ -166,13 +166,16 @@ def keep_first(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     part under a number made of its text, and one row of the component stays.
     """
     spare = F.shiftrightunsigned(F.xxhash64(F.col(f"`{text_col}`").cast("string")), 2) + F.lit(1 << 62)
-    rows = documents.withColumn("__id", F.coalesce(F.col(f"`{id_col}`"), spare))
-    found = components(rows, id_col="__id", text_col=text_col, radius=radius)
-    stay = cut(found.where("doc_id = component_id").groupBy("doc_id").count().select(F.col("doc_id").alias("__id"), "count"))
-    kept = rows.join(stay.where("count = 1").select("__id"), "__id", "left_semi")
-    if stay.where("count > 1").limit(1).count():
-        kept = kept.unionByName(rows.join(stay.where("count > 1").select("__id"), "__id", "left_semi").dropDuplicates(["__id"]))
-    return kept.select(documents.columns)
+    own = "__id"
+    while own in documents.columns:
+        own += "_"
+    rows = documents.withColumn(own, F.coalesce(F.col(f"`{id_col}`"), spare))
+    found = components(rows, id_col=own, text_col=text_col, radius=radius)
+    stay = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias(own), "n"))
+    kept = rows.join(stay.where("n = 1").select(own), own, "left_semi")
+    if stay.where("n > 1").limit(1).count():
+        kept = kept.unionByName(rows.join(stay.where("n > 1").select(own), own, "left_semi").dropDuplicates([own]))
+    return kept.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def with_digest(found: DataFrame) -> DataFrame:
