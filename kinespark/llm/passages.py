@@ -3,7 +3,7 @@
 Documents are cut into k-mers of words, of which each window's least is a seed. Seeds that several documents share are
 joined, each occurrence with the first document that has it, so that a passage in m documents makes m - 1 links. The
 links of two documents are merged along diagonals and chained with gap costs through a Fenwick tree; chains are aligned
-word by word and kept if long and alike enough.
+word by word, and they or their parts are kept if long and alike enough.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ WINDOW = 12
 MIN_WORDS = 50
 SIMILARITY = 0.8
 GAP_COST = 0.2
-#: Words between links of one diagonal that are still merged, and the longest gap that is aligned word by word.
+#: Words between links of one diagonal that are still merged.
 NEAR = 64
 #: Words on both sides of a document's links that are first sent to its partner; where these agree to their end, all are.
 REACH = 256
 #: Most pairs of which a list of ids is broadcast; the texts of more are shuffled.
 FEW = 100_000
+#: Cells, of a bit each, of a table from which a gap's common subsequence is read.
+TABLE_BITS = 1 << 27
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -234,19 +236,51 @@ def chains(links: DataFrame, k: int, cost: float) -> DataFrame:
 # --- alignment -------------------------------------------------------------------------------------------------------
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence; the diagonal alone if the gap is long on both sides."""
-    if not len(a) or not len(b):
-        return 0
-    if len(a) == len(b) and (len(a) > 2 * NEAR or (a == b).mean() >= 0.5):
-        return int((a == b).sum())
-    if len(a) * len(b) > 16 * NEAR * NEAR:
-        return len(np.intersect1d(a, b))
-    row = np.zeros(len(b) + 1, dtype=np.int64)
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each word of a, the places of b that make no common subsequence with it longer, as bits."""
+    every = (1 << len(b)) - 1
+    places: dict[int, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    row = every
     for w in a:
-        row[1:] = np.maximum(row[1:], np.where(b == w, row[:-1] + 1, 0))
-        np.maximum.accumulate(row, out=row)
-    return int(row[-1])
+        both = row & places.get(w, 0)
+        row = (row + both | row - both) & every
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each start of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")
+    return np.r_[0, np.cumsum(1 - bits[: len(b)].astype(np.int64))]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both texts of a longest common subsequence. Halves are matched one by one where the table has over TABLE_BITS."""
+    i, j = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+    a, b = a[i], b[j]
+    if not len(a):
+        return i, j
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        at = int((_lengths(a[:half].tolist(), b.tolist()) + _lengths(a[half:][::-1].tolist(), b[::-1].tolist())[::-1]).argmax())
+        (x0, y0), (x1, y1) = _common(a[:half], b[:at]), _common(a[half:], b[at:])
+        return i[np.r_[x0, half + x1]], j[np.r_[y0, at + y1]]
+    rows = list(_rows(a.tolist(), b.tolist()))
+    x, y, out = len(a), len(b), []
+    while x and y:
+        if rows[x - 1] >> y - 1 & 1:
+            y -= 1
+            continue
+        x -= 1
+        if not x or rows[x - 1] >> y - 1 & 1:
+            y -= 1
+            out.append((x, y))
+    found = np.array(out[::-1], dtype=np.int64).reshape(-1, 2)
+    return i[found[:, 0]], j[found[:, 1]]
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -264,20 +298,63 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return at, equal
 
 
-def align(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int, int]]) -> tuple[int, int, int, int, float]:
-    """(start, end, start, end, likeness) of a chain in both texts, ends moved outwards as far as the words agree."""
-    equal, x, y = 0, None, None
+def align(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int, int]]) -> tuple[tuple[int, int, int, int], np.ndarray, np.ndarray]:
+    """(start, end, start, end) of a chain in both texts, ends moved outwards as far as the words agree, and the places of equal words."""
+    xs, ys = [], []
+
+    def add(x: int, y: int, at: tuple[np.ndarray, np.ndarray]) -> None:
+        xs.append(x + at[0])
+        ys.append(y + at[1])
+
+    def diagonal(x: int, y: int, n: int) -> None:
+        add(x, y, (np.flatnonzero(a[x : x + n] == b[y : y + n]),) * 2)
+
+    x, _, y, _ = segments[0]
+    more, _ = _extend(a[:x][::-1], b[:y][::-1])
+    left = x - more, y - more
+    diagonal(*left, more)
     for x0, x1, y0, y1 in segments:
-        if x is not None:
-            equal += _common(a[x:x0], b[y:y0])
-        equal += int((a[x0:x1] == b[y0:y1]).sum())
+        add(x, y, _common(a[x:x0], b[y:y0]))
+        diagonal(x0, y0, x1 - x0)
         x, y = x1, y1
-    more, same = _extend(a[x:], b[y:])
-    x1, y1, equal = x + more, y + more, equal + same
-    x0, _, y0, _ = segments[0]
-    more, same = _extend(a[:x0][::-1], b[:y0][::-1])
-    x0, y0, equal = x0 - more, y0 - more, equal + same
-    return x0, x1, y0, y1, equal / max(1, x1 - x0, y1 - y0)
+    more, _ = _extend(a[x:], b[y:])
+    diagonal(x, y, more)
+    return (left[0], x + more, left[1], y + more), np.concatenate(xs), np.concatenate(ys)
+
+
+def parts(span: tuple[int, int, int, int], xs: np.ndarray, ys: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, start, end, likeness) of an aligned chain if it is alike enough, else of its longest parts that are.
+
+    A part begins and ends with equal words; one within another that is alike enough is left out, others may overlap.
+    """
+    x0, x1, y0, y1 = span
+    like = len(xs) / max(1, x1 - x0, y1 - y0)
+    if like >= similarity:
+        return [(*span, like)] if min(x1 - x0, y1 - y0) >= min_words else []
+    if len(xs) < similarity * min_words:
+        return []
+    # Equal words in a row only add to likeness, so parts begin and end where such runs do.
+    step = np.flatnonzero((np.diff(xs) != 1) | (np.diff(ys) != 1))
+    head, tail = np.r_[0, step + 1], np.r_[step, len(xs) - 1]
+    xa, ya, xb, yb = xs[head], ys[head], xs[tail] + 1, ys[tail] + 1
+    # The last run that can end a part from each run on: no later one makes up for the words that differ.
+    last = np.full(len(head), len(head) - 1)
+    for begin, end in ((xa, xb), (ya, yb)):
+        highest = np.maximum.accumulate((tail + 1 - similarity * end)[::-1])
+        last = np.minimum(last, len(head) - 1 - np.searchsorted(highest, head - similarity * begin - 1e-6))
+    out, done = [], -1
+    for r in range(len(head)):
+        low = max(r, done + 1)
+        if last[r] < low:
+            continue
+        own = slice(low, last[r] + 1)
+        share = (tail[own] + 1 - head[r]) / np.maximum(xb[own] - xa[r], yb[own] - ya[r])
+        fit = np.flatnonzero(share >= similarity)
+        if len(fit):
+            done = low + int(fit[-1])
+            if min(xb[done] - xa[r], yb[done] - ya[r]) >= min_words:
+                out.append((int(xa[r]), int(xb[done]), int(ya[r]), int(yb[done]), float(share[fit[-1]])))
+    return out
 
 
 def _with_slices(pairs: DataFrame, texts: DataFrame, reach: int | None) -> DataFrame:
@@ -315,7 +392,7 @@ def _with_slices(pairs: DataFrame, texts: DataFrame, reach: int | None) -> DataF
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, reach: int | None, min_words: int, similarity: float) -> DataFrame:
-    """Aligned chains that are long and alike enough, and any whose alignment came to the edge of a slice (`open`)."""
+    """Parts of aligned chains that are long and alike enough, and any chain whose alignment came to the edge of a slice (`open`)."""
     both = _with_slices(pairs, texts, reach).join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("b")), "rep")
     both = both.select("doc", "rep", "segments", "a", "start", "left", "right", "b")
 
@@ -336,10 +413,13 @@ def _aligned(pairs: DataFrame, texts: DataFrame, reach: int | None, min_words: i
                 for segments in own.values():
                     if segments[-1][3] > len(b):
                         continue  # another row of a repeated id
-                    x0, x1, y0, y1, like = align(a, b, segments)
-                    open_ = left and x0 < 4 and y0 > 0 or right and x1 > len(a) - 4 and y1 < len(b)
-                    if open_ or min(x1 - x0, y1 - y0) >= min_words and like >= similarity:
-                        out.append((d, r, x0 + start, x1 + start, y0, y1, like, open_))
+                    span, xs, ys = align(a, b, segments)
+                    x0, x1, y0, y1 = span
+                    if left and x0 < 4 and y0 > 0 or right and x1 > len(a) - 4 and y1 < len(b):
+                        out.append((d, r, x0 + start, x1 + start, y0, y1, 0.0, True))
+                        continue
+                    for x0, x1, y0, y1, like in parts(span, xs, ys, min_words, similarity):
+                        out.append((d, r, x0 + start, x1 + start, y0, y1, like, False))
             cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 

@@ -233,6 +233,47 @@ def test_verbatim_repeats_by_brute_force(spark, wide):
                 assert all(covered[k : k + 50])
 
 
+def test_parts_of_chains_by_brute_force():
+    rng = random.Random(13)
+    for _ in range(300):
+        xs, ys, x, y = [], [], rng.randrange(3), rng.randrange(3)
+        for _ in range(rng.randrange(1, 60)):
+            xs.append(x)
+            ys.append(y)
+            off = rng.random() < 0.3
+            x, y = x + 1 + off * rng.randrange(4), y + 1 + off * rng.randrange(4)
+        span = (xs[0], xs[-1] + 1, ys[0], ys[-1] + 1)
+        fit = [(a, b) for a in range(len(xs)) for b in range(a, len(xs)) if (b - a + 1) / max(xs[b] - xs[a] + 1, ys[b] - ys[a] + 1) >= 0.8]
+        fit = [(a, b) for a, b in fit if not any(c <= a and b <= d and (a, b) != (c, d) for c, d in fit)]
+        want = [(xs[a], xs[b] + 1, ys[a], ys[b] + 1) for a, b in fit if min(xs[b] - xs[a], ys[b] - ys[a]) + 1 >= 10]
+        assert [t[:4] for t in passages.parts(span, np.array(xs), np.array(ys), 10, 0.8)] == want
+
+
+@pytest.mark.parametrize("table", [1 << 27, 20])
+def test_common_words_by_brute_force(monkeypatch, table):
+    monkeypatch.setattr(passages, "TABLE_BITS", table)
+    rng = random.Random(14)
+    for _ in range(300):
+        a, b = (np.array([rng.randrange(6) for _ in range(rng.randrange(14))], dtype=np.uint64) for _ in range(2))
+        best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        x, y = passages._common(a, b)
+        assert len(x) == len(y) == best[-1, -1] and (a[x] == b[y]).all() and (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+
+
+@pytest.mark.parametrize("gaps", [(60, 60), (40, 40), (60, 35), (90, 90)])
+def test_verbatim_passages_with_a_gap_between(spark, gaps):
+    rng = random.Random(15)
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = [(k, f"{prose(rng, 20)} {one} {prose(rng, g)} {two} {prose(rng, 20)}") for k, g in enumerate(gaps)]
+    got = {r["doc_id"]: r for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, g in enumerate(gaps):
+        covered = {w for a, b in spans(got[k]["passages"]) for w in range(a, b)}
+        assert covered >= {*range(20, 80), *range(80 + g, 140 + g)} and got[k]["n_links"] == 1
+
+
 def test_seeds_do_not_depend_on_other_texts():
     rng = random.Random(9)
     texts = [prose(rng, n) for n in (5, 19, 20, 200, 8, 60)]
