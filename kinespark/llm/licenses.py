@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Lines with a cue, and runs of such lines, are candidate blocks. A block is compressed by itself and with each template
-as raw zstandard dictionary; the templates that save most are confirmed word by word.
+Lines with a cue, and runs of such lines, are candidate blocks. A block's stretches of words are held against each
+template; a stretch that agrees is compressed by itself and with the template as raw zstandard dictionary.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -77,6 +78,10 @@ class _Template:
         self.name, self.words = name, split(text)
         shared = zstandard.ZstdCompressionDict(text.encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zip = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=False, write_dict_id=False)
+        self.most = max(n for n in range(len(self.words)) if n <= MOST_DIFFERENT * len(self.words))
+        #: More words than may differ, so a confirmed stretch has one of them; and the words that must not differ.
+        self.anchors = frozenset(sorted(self.words, key=len)[-self.most - 1 :])
+        self.numbers = frozenset(w for w in self.words if any(map(str.isdigit, w)))
 
 
 @lru_cache(maxsize=1)
@@ -84,45 +89,61 @@ def _templates() -> list[_Template]:
     return [_Template(*t) for t in templates()]
 
 
-def differences(words: list[str], want: list[str]) -> tuple[int, int, int]:
-    """Least number of words that differ (added, missing or other) in any stretch of words from the wanted ones; the stretch.
+def stretches(words: list[str], want: list[str], most: int) -> Iterator[tuple[int, int, int]]:
+    """(number of words that differ: added, missing or other; start; end) of stretches of words that differ from the wanted ones in no more than `most`.
 
-    A stretch without one of the wanted words that hold digits, such as a version, differs in all.
+    A stretch without one of the wanted words that hold digits, such as a version, is none.
     """
-    best = (len(want), 0, 0)
-    heads = [i for i, w in enumerate(words) if w in want[:3]]
-    for i in heads:
-        part = words[i : i + len(want) + max(2, len(want) // 8)]
-        same = [m for m in SequenceMatcher(None, part, want, autojunk=False).get_matching_blocks() if m.size]
+    if not most:
+        for i, w in enumerate(words):
+            if w == want[0] and words[i : i + len(want)] == want:
+                yield 0, i, i + len(want)
+        return
+    known, size = set(want), len(want) + max(2, len(want) // 8)
+    counts = [0, *accumulate(w in known for w in words)]
+    for i, w in enumerate(words):
+        if w not in want[:3] or counts[min(len(words), i + size)] - counts[i] < len(want) - most:
+            continue
+        same = [m for m in SequenceMatcher(None, words[i : i + size], want, autojunk=False).get_matching_blocks() if m.size]
         there = {k for m in same for k in range(m.b, m.b + m.size)}
         if any(k not in there and any(map(str.isdigit, w)) for k, w in enumerate(want)):
             continue
         last = max((m.a + m.size for m in same), default=0)
         n = max(last, len(want)) - len(there)
-        if n < best[0]:
-            best = (n, i, i + last)
-    return best
+        if n <= most:
+            yield n, i, i + last
+
+
+@lru_cache(maxsize=4096)
+def _gain(k: int, text: str) -> float:
+    """Share of a text's compressed size that template k saves. It is taken of a notice alone: level 3 chooses other parameters for longer input."""
+    raw = text.encode("utf-8", "surrogatepass")
+    alone = len(_PLAIN.compress(raw))
+    return (alone - len(_templates()[k].zip.compress(raw))) / alone
 
 
 @lru_cache(maxsize=4096)
 def identify(block: str) -> tuple[tuple[str, float, int], ...]:
-    """Licenses that a block states: (license, share of its compressed size that the template saves, differing words).
+    """Licenses that a block states: (license, share of its notice's compressed size that the template saves, differing words).
 
     Of the templates that save most, those with the fewest differing words come first; each takes its stretch of words.
     """
-    raw = block.encode("utf-8", "surrogatepass")
-    alone = len(_PLAIN.compress(raw))
-    gains = sorted((((alone - len(t.zip.compress(raw))) / alone, k) for k, t in enumerate(_templates())), reverse=True)
-    words = split(block)
+    low = block.lower()
+    found = list(_WORD.finditer(low))
+    words = [m[0] for m in found]
+    have, shown = set(words), block if len(low) == len(block) else low
     fitting = []
-    for gain, k in gains[:RANKED]:
-        t = _templates()[k]
-        n, a, b = differences(words, t.words)
-        if gain > 0 and n <= MOST_DIFFERENT * len(t.words):
-            fitting.append((n / len(t.words), -(b - a), -gain, k, n, a, b))
+    for k, t in enumerate(_templates()):
+        if have.isdisjoint(t.anchors) or not t.numbers <= have:
+            continue
+        best = min(stretches(words, t.words, t.most), default=None)
+        if best:
+            n, a, b = best
+            gain = _gain(k, shown[found[a].start() : found[b - 1].end()])
+            fitting.append((-gain, n / len(t.words), -(b - a), k, n, a, b))
     out: list[tuple[str, float, int]] = []
     taken: list[tuple[int, int]] = []
-    for _, _, gain, k, n, a, b in sorted(fitting):
+    for gain, _, _, k, n, a, b in sorted(sorted(fitting)[:RANKED], key=lambda x: (*x[1:3], x[0], x[3])):
         if not any(a < y and x < b for x, y in taken):
             out.append((_templates()[k].name, round(-gain, 4), n))
             taken.append((a, b))

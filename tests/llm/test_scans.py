@@ -1,6 +1,7 @@
 """Operators on single texts: benchmark passages, personal data, licenses, tokens."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -161,6 +162,15 @@ def test_small_changes_and_other_texts():
     assert not licenses.scan("The license plate of the car is as is.") and not licenses.scan(None)
 
 
+def test_notices_in_long_lines():
+    rng = random.Random(11)
+    for n in (500, 2000, 20000):
+        fill = [" ".join("".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for _ in range(2)]
+        for name, wording in (("Proprietary", "All rights reserved."), ("MIT", "Released under the MIT License."), ("MIT", licenses.NOTICES["MIT"][2])):
+            got = licenses.scan(f"{fill[0]} {wording} {fill[1]}")
+            assert [x[0] for x in got] == [name] and got[0][3] > 0 and got[0][4] == 0, (n, wording)
+
+
 def test_licenses_of_odd_rows(spark):
     got = licenses.scan_licenses(odd(spark, [*ODD, (8, "x\nReleased under the MIT License.")])).collect()
     assert len(got) == len(ODD) + 1 and sum(r["n_licenses"] for r in got) == 1
