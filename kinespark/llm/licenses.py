@@ -18,10 +18,8 @@ from pyspark.sql import DataFrame
 
 from kinespark.llm.common import keyed_text, small_batches
 
-#: Share of a template's words that may differ in a confirmed block (versions may not), and the number of templates
-#: that are compared word by word: those that save most.
+#: Share of a template's words that may differ in a confirmed block (versions may not).
 MOST_DIFFERENT = 0.1
-RANKED = 24
 #: Lines between cues that still belong to one block.
 NEAR_LINES = 6
 
@@ -126,7 +124,7 @@ def _gain(k: int, text: str) -> float:
 def identify(block: str) -> tuple[tuple[str, float, int], ...]:
     """Licenses that a block states: (license, share of its notice's compressed size that the template saves, differing words).
 
-    Of the templates that save most, those with the fewest differing words come first; each takes its stretch of words.
+    Of all templates and all their stretches, those with the fewest differing words come first; each takes its words.
     """
     low = block.lower()
     found = list(_WORD.finditer(low))
@@ -136,18 +134,16 @@ def identify(block: str) -> tuple[tuple[str, float, int], ...]:
     for k, t in enumerate(_templates()):
         if have.isdisjoint(t.anchors) or not t.numbers <= have:
             continue
-        best = min(stretches(words, t.words, t.most), default=None)
-        if best:
-            n, a, b = best
+        for n, a, b in stretches(words, t.words, t.most):
             gain = _gain(k, shown[found[a].start() : found[b - 1].end()])
-            fitting.append((-gain, n / len(t.words), -(b - a), k, n, a, b))
-    out: list[tuple[str, float, int]] = []
-    taken: list[tuple[int, int]] = []
-    for gain, _, _, k, n, a, b in sorted(sorted(fitting)[:RANKED], key=lambda x: (*x[1:3], x[0], x[3])):
-        if not any(a < y and x < b for x, y in taken):
-            out.append((_templates()[k].name, round(-gain, 4), n))
-            taken.append((a, b))
-    return tuple(out)
+            fitting.append((n / len(t.words), -(b - a), -gain, k, n, a, b))
+    out: dict[str, tuple[float, int]] = {}
+    taken = bytearray(len(words))
+    for _, _, gain, k, n, a, b in sorted(fitting):
+        if not any(taken[a:b]):
+            out.setdefault(_templates()[k].name, (round(-gain, 4), n))
+            taken[a:b] = b"\1" * (b - a)
+    return tuple((name, *v) for name, v in out.items())
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, float, int]]:

@@ -171,6 +171,14 @@ def test_notices_in_long_lines():
             assert [x[0] for x in got] == [name] and got[0][3] > 0 and got[0][4] == 0, (n, wording)
 
 
+def test_many_notices_in_one_line():
+    got = licenses.scan("# Copyright (c) 2024 Example Corp. All rights reserved. SPDX-License-Identifier: Apache-2.0")
+    assert [x[0] for x in got] == ["Apache-2.0", "Proprietary"]
+    every = licenses.templates()
+    got = licenses.scan(" ".join(f"{wording} Then." for _, wording in every))
+    assert {x[0] for x in got} == {name for name, _ in every}
+
+
 def test_licenses_of_odd_rows(spark):
     got = licenses.scan_licenses(odd(spark, [*ODD, (8, "x\nReleased under the MIT License.")])).collect()
     assert len(got) == len(ODD) + 1 and sum(r["n_licenses"] for r in got) == 1
