@@ -1,12 +1,13 @@
 """License scans by conditional compression.
 
-Lines with a cue, and runs of such lines, are candidate blocks. A block's stretches of words are held against each
-template; a stretch that agrees is compressed by itself and with the template as raw zstandard dictionary.
+A text's stretches of words, in one line or over many, are held against each template that has a word in it without
+which none can agree; a stretch that agrees is compressed by itself and with the template as raw zstandard dictionary.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -18,13 +19,8 @@ from pyspark.sql import DataFrame
 
 from kinespark.llm.common import keyed_text, small_batches
 
-#: Share of a template's words that may differ in a confirmed block (versions may not).
+#: Share of a template's words that may differ in a confirmed notice (versions may not).
 MOST_DIFFERENT = 0.1
-#: Lines between cues that still belong to one block.
-NEAR_LINES = 6
-
-# What a line of a license notice may hold, in lower case.
-CUES = ("licen", "copyright", "spdx", "permission is hereby", "redistribution", "warrant", "as is", "public domain", "liable", "rights reserved")
 
 # Wordings of public licenses' notices.
 NOTICES = {
@@ -120,16 +116,23 @@ def _gain(k: int, text: str) -> float:
     return (alone - len(_templates()[k].zip.compress(raw))) / alone
 
 
-@lru_cache(maxsize=4096)
-def identify(block: str) -> tuple[tuple[str, float, int], ...]:
-    """Licenses that a block states: (license, share of its notice's compressed size that the template saves, differing words).
+@lru_cache(maxsize=1)
+def _anchors() -> tuple[str, ...]:
+    return tuple(sorted({w for t in _templates() for w in t.anchors}))
+
 
-    Of all templates and all their stretches, those with the fewest differing words come first; each takes its words.
+def scan(text: str | None) -> list[tuple[str, int, int, float, int]]:
+    """(license, start, end, gain, differing words) of each confirmed notice; spans are code points of its lines.
+
+    Notices may be broken over lines. Of all templates and all their stretches, those with the fewest differing words
+    come first; each takes its words.
     """
-    low = block.lower()
+    low = (text or "").lower()
+    if not any(w in low for w in _anchors()):
+        return []
     found = list(_WORD.finditer(low))
     words = [m[0] for m in found]
-    have, shown = set(words), block if len(low) == len(block) else low
+    have, shown = set(words), text if len(low) == len(text) else low
     fitting = []
     for k, t in enumerate(_templates()):
         if have.isdisjoint(t.anchors) or not t.numbers <= have:
@@ -137,43 +140,18 @@ def identify(block: str) -> tuple[tuple[str, float, int], ...]:
         for n, a, b in stretches(words, t.words, t.most):
             gain = _gain(k, shown[found[a].start() : found[b - 1].end()])
             fitting.append((n / len(t.words), -(b - a), -gain, k, n, a, b))
-    out: dict[str, tuple[float, int]] = {}
+    if not fitting:
+        return []
+    ends = [m.start() for m in re.finditer("\n", low)]  # lower case adds no lines
+    bounds = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+    out: dict[tuple[str, int, int], tuple[float, int]] = {}
     taken = bytearray(len(words))
     for _, _, gain, k, n, a, b in sorted(fitting):
         if not any(taken[a:b]):
-            out.setdefault(_templates()[k].name, (round(-gain, 4), n))
+            first, last = bisect_left(ends, found[a].start()), bisect_left(ends, found[b - 1].start())
+            out.setdefault((_templates()[k].name, bounds[first] + 1, bounds[last + 1]), (round(-gain, 4), n))
             taken[a:b] = b"\1" * (b - a)
-    return tuple((name, *v) for name, v in out.items())
-
-
-def scan(text: str | None) -> list[tuple[str, int, int, float, int]]:
-    """(license, start, end, gain, differing words) of each confirmed block; spans are code points of its lines."""
-    low = (text or "").lower()
-    if not any(c in low for c in CUES):
-        return []
-    lines, at = [], 0
-    for line in text.split("\n"):
-        own = line.lower()
-        lines.append((at, at + len(line), any(c in own for c in CUES)))
-        at += len(line) + 1
-    marked = [k for k, x in enumerate(lines) if x[2]]
-    found = {}
-    for k in marked:
-        a, b, _ = lines[k]
-        for name, gain, n in identify(text[a:b]):
-            found.setdefault((name, a, b), (gain, n))
-    run = [marked[0]] if marked else []
-    for k in [*marked[1:], None]:
-        if k is not None and k - run[-1] <= NEAR_LINES:
-            run.append(k)
-            continue
-        if len(run) > 1:  # a notice that is broken over lines
-            a, b = lines[run[0]][0], lines[min(len(lines) - 1, run[-1] + NEAR_LINES)][1]
-            for name, gain, n in identify(text[a:b]):
-                if not any(name == other and x >= a and y <= b for other, x, y in found):
-                    found[name, a, b] = (gain, n)
-        run = [k]
-    return sorted((name, a, b, *v) for (name, a, b), v in found.items())
+    return sorted((name, a, b, *v) for (name, a, b), v in out.items())
 
 
 def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -179,6 +180,16 @@ def test_many_notices_in_one_line():
     assert {x[0] for x in got} == {name for name, _ in every}
 
 
+@pytest.mark.parametrize("width", [1, 12, 30, 72])
+def test_notices_broken_over_lines(width):
+    for name, wording in licenses.templates():
+        lines = textwrap.wrap(wording, width, break_long_words=False, break_on_hyphens=False)
+        notice = "\n".join(f" * {x}" for x in lines)
+        text = f"\u0130 Some words.\n{notice}\nMore words."
+        want = (name, text.index(notice), text.index(notice) + len(notice))
+        assert want in {x[:3] for x in licenses.scan(text)}, wording
+
+
 def test_licenses_of_odd_rows(spark):
     got = licenses.scan_licenses(odd(spark, [*ODD, (8, "x\nReleased under the MIT License.")])).collect()
     assert len(got) == len(ODD) + 1 and sum(r["n_licenses"] for r in got) == 1
