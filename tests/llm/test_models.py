@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -125,6 +126,22 @@ def test_an_example_has_all_turns_before_it(spark):
     assert second["text"] == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n<|im_start|>user\nr<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
 
 
+def test_long_conversations_are_whole(spark):
+    """Sizes are those of the SQL and examples have all turns before them, by reference or not."""
+    turns = [(c, k, ("user", "assistant")[k % 2], "<|im_end|> é" * (k + c)) for c in range(3) for k in range(9)]
+    rows = [*turns, (-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+    df = spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    want = sorted(con.execute(queries.ORACLE_SQL["op9_chat"]).fetchall())
+    whole = sorted(map(tuple, chat.format_conversations(df).collect()))
+    short = chat.format_conversations(df, inline=50)
+    assert short.where("text_from > 0").count() > 0
+    assert sorted(map(tuple, chat.read_back(short).collect())) == want
+    assert sorted(map(tuple, chat.expanded(short).collect())) == sorted(map(tuple, chat.expanded(chat.format_conversations(df)).collect())) == whole
+
+
 def test_odd_conversations(spark):
     rows = [(1, 0, None, None), (1, None, "assistant", "early"), (None, 0, "assistant", "x"), (2, 1, "user", "t"), (2, 1, "user", "t")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
