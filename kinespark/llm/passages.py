@@ -309,13 +309,23 @@ def align(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int, int]
     def diagonal(x: int, y: int, n: int) -> None:
         add(x, y, (np.flatnonzero(a[x : x + n] == b[y : y + n]),) * 2)
 
+    def between(x1: int, y1: int) -> None:
+        if x1 > x and y1 > y and max(x1 - x, y1 - y) > 1:
+            add(x, y, _common(a[x:x1], b[y:y1]))
+
     x, _, y, _ = segments[0]
     more, _ = _extend(a[:x][::-1], b[:y][::-1])
     left = x - more, y - more
     diagonal(*left, more)
     for x0, x1, y0, y1 in segments:
-        add(x, y, _common(a[x:x0], b[y:y0]))
-        diagonal(x0, y0, x1 - x0)
+        # Equal words of a link's length are certain; what lies between them is measured in the same way as gaps.
+        ends = np.r_[-1, np.flatnonzero(a[x0:x1] != b[y0:y1]), x1 - x0]
+        for r in np.flatnonzero(np.diff(ends) > K).tolist():
+            begin, n = int(ends[r]) + 1, int(ends[r + 1] - ends[r]) - 1
+            between(x0 + begin, y0 + begin)
+            diagonal(x0 + begin, y0 + begin, n)
+            x, y = x0 + begin + n, y0 + begin + n
+        between(x1, y1)
         x, y = x1, y1
     more, _ = _extend(a[x:], b[y:])
     diagonal(x, y, more)

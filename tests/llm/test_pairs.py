@@ -274,6 +274,20 @@ def test_verbatim_passages_with_a_gap_between(spark, gaps):
         assert covered >= {*range(20, 80), *range(80 + g, 140 + g)} and got[k]["n_links"] == 1
 
 
+@pytest.mark.parametrize("n", [20, 50, 200, 700])
+def test_gaps_of_all_sizes_have_one_measure(n):
+    """A word more at one end of a gap and one less at the other costs one word; words in another order do not count."""
+    word = np.arange(5 * n, dtype=np.uint64)
+    ends, gap = word[:30], word[30 : 30 + n]
+    a = np.concatenate([ends, gap, ends])
+    moved, turned = (np.concatenate([ends, x, ends]) for x in (np.r_[word[-1:], gap[:-1]], gap[::-1]))
+    apart, merged = [(0, 30, 0, 30), (n + 30, n + 60, n + 30, n + 60)], [(0, n + 60, 0, n + 60)]
+    for segments in (apart, merged):
+        for b, equal in ((moved, n - 1), (turned, 1)):
+            span, xs, ys = passages.align(a, b, segments)
+            assert span == (0, n + 60, 0, n + 60) and len(xs) == 60 + equal and (a[xs] == b[ys]).all()
+
+
 def test_seeds_do_not_depend_on_other_texts():
     rng = random.Random(9)
     texts = [prose(rng, n) for n in (5, 19, 20, 200, 8, 60)]
