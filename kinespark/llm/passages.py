@@ -1,29 +1,42 @@
 """Fuzzy repeated passages by collinear chaining.
 
-Documents are cut into k-mers of words, of which each window's least is a seed. Seeds that several documents share are
-joined, each occurrence with the first document that has it, so that a passage in m documents makes m - 1 links. The
-links of two documents are merged along diagonals and chained with gap costs through a Fenwick tree; chains are aligned
-word by word, and they or their parts are kept if long and alike enough.
+Every fifth k-mer of words, by its hash, is a seed. Occurrences of a seed that several documents have are told apart by
+what stands around them: the least word hash of the words behind or before it, and the LONG words that begin or end with
+it. Of those alike in one of these, each is linked with the first, so that a passage in m documents makes about m - 1
+links, and documents that share it find each other although others hold parts of it. The links of two documents are
+merged along diagonals and chained with gap costs through a Fenwick tree; chains are aligned word by word, and they or
+their parts are kept if long and alike enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import cut, keyed_text, small_batches, stored
 from kinespark.llm.components import connected
 from kinespark.llm.decontaminate import _LOWER, SHARD_BYTES, split_words
 
-K = 8
-WINDOW = 12
+K = 4
+#: One of so many k-mers, by hash, is a seed.
+EVERY = 5
+#: Words on one side of a seed of which the least hash is taken.
+NEAR_SEED = 12
+#: Words that begin or end with a seed and must agree as a whole.
+LONG = 40
 MIN_WORDS = 50
 SIMILARITY = 0.8
-GAP_COST = 0.2
+GAP_COST = 0.05
+#: Words that are compared at once where an alignment is extended, and how far its score may fall below the best.
+BLOCK = 32
+DROP = 24
+#: How far the score may fall below the best at the end of a passage that would be too short without.
+SLACK = 4
 #: Words between links of one diagonal that are still merged.
 NEAR = 64
 #: Words on both sides of a document's links that are first sent to its partner; where these agree to their end, all are.
@@ -55,31 +68,63 @@ def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(pad[: len(x)], pad[rest : rest + len(x)])
 
 
-def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, position) of each window's least k-mer; texts of fewer than k + window - 1 words have none.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= _MIX
+    return x ^ (x >> np.uint64(29))
 
-    Windows lie within a text, so its seeds do not depend on the texts around it.
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps = [np.full(n, base, dtype=np.uint64) for base in (int(_MIX), pow(int(_MIX), -1, 1 << 64))]
+    for x in steps:
+        x[0] = 1
+    return tuple(np.cumprod(x, dtype=np.uint64) for x in steps)
+
+
+def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, every: int = EVERY, least_words: int = MIN_WORDS, contexts: bool = True) -> tuple[np.ndarray, ...]:
+    """(hash, document, position, contexts) of the seeds of texts that have least_words words or more.
+
+    Contexts are four packed numbers of 16 bits, 0 where the text ends too soon: the least hash of NEAR_SEED words behind
+    and before the seed, and the hashes of the LONG words that begin and that end with it. All depend on a text's own
+    words only, and whether a k-mer is a seed on its words alone.
     """
-    n = len(hashes)
-    if n < k + window - 1:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    mers = np.zeros(n - k + 1, dtype=np.uint64)
+    sizes = np.diff(bounds)
+    sizes = np.where(sizes >= max(least_words, k), sizes, 0)
+    starts = np.r_[0, np.cumsum(sizes + NEAR_SEED)][:-1] + NEAR_SEED
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.r_[0, np.cumsum(sizes)][:-1]
+    pos = np.arange(len(doc)) - first[doc]
+    n = int(starts[-1] + sizes[-1]) + NEAR_SEED if len(sizes) else NEAR_SEED
+    if not len(doc):
+        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    at = starts[doc] + pos  # words stand NEAR_SEED places apart from those of other texts
+    words = np.zeros(n, dtype=np.uint64)
+    words[at] = hashes[bounds[doc] + pos]
+    whole = pos + k <= sizes[doc]
+    mers = np.zeros(len(doc), dtype=np.uint64)
     for j in range(k):
-        mers = mers * _MIX + hashes[j : n - k + 1 + j]
-    mers ^= mers >> np.uint64(32)
-    mers *= _MIX
-    mers ^= mers >> np.uint64(29)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: n - k + 1]
-    whole = np.arange(n - k + 1) + k <= bounds[doc + 1]
-    mers[~whole] = _FAR
-    least = _slide(mers, window, True)
-    inside = np.zeros(len(mers), dtype=bool)
-    last = len(mers) - window + 1
-    inside[:last] = whole[window - 1 :] & (doc[:last] == doc[window - 1 :])
-    least[~inside] = 0
-    top = _slide(least[::-1], window, False)[::-1]
-    at = np.flatnonzero((top == mers) & whole)
-    return mers[at], doc[at], at - bounds[doc[at]]
+        mers = mers * _MIX + words[at + j]
+    mers = _mixed(mers)
+    own = np.flatnonzero(whole & ((mers >> np.uint64(40)) % np.uint64(every) == 0))
+    mers, doc, pos, at = mers[own], doc[own], pos[own], at[own]
+    if not contexts:
+        return mers, doc, pos, np.zeros(0, dtype=np.int64)
+    ranks = np.where(words == 0, _FAR, _mixed(words * _MIX) >> np.uint64(1))
+    least = _slide(ranks, NEAR_SEED, True)
+    up, down = _powers(1 << max(20, n.bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum(words * up[:n], dtype=np.uint64)]
+    packed = np.zeros(len(at), dtype=np.uint64)
+    end = starts[doc] + sizes[doc]
+    for t, (a, there) in enumerate(((at + k, None), (at - NEAR_SEED, None), (at, at + LONG <= end), (at + k - LONG, at + k - LONG >= starts[doc]))):
+        if there is None:
+            x = least[a]
+            there = x != _FAR
+        else:
+            a = np.where(there, a, 0)
+            x = _mixed((sums[np.minimum(a + LONG, n)] - sums[a]) * down[a])
+        packed |= np.where(there, np.maximum(_mixed(x * _MIX) >> np.uint64(48), np.uint64(1)), np.uint64(0)) << np.uint64(16 * t)
+    return mers, doc, pos, packed.view(np.int64)
 
 
 #: Bits of a position in a packed place; a text of 2 GB, the longest that a row can hold, has fewer words.
@@ -107,8 +152,9 @@ class Places:
         return place.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int") if self.packed else place["pos"]
 
 
-def seeds(documents: DataFrame, places: Places, id_col: str, text_col: str, k: int, window: int) -> DataFrame:
-    """(h, place) of all seeds."""
+def seeds(documents: DataFrame, places: Places, id_col: str, text_col: str, k: int, every: int, min_words: int, contexts: bool) -> DataFrame:
+    """(h, place) of all seeds, and their contexts if asked for."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_pylist()
@@ -116,11 +162,30 @@ def seeds(documents: DataFrame, places: Places, id_col: str, text_col: str, k: i
             for b, t in enumerate(texts):
                 size += len(t or "")
                 if size >= SHARD_BYTES // 2 or b == len(texts) - 1:
-                    h, doc, pos = seeds_of(*_text_words(texts[a : b + 1]), k, window)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), places.make(ids[a + doc], pos)], names=["h", "place"])
+                    h, doc, pos, around = seeds_of(*_text_words(texts[a : b + 1]), k, every, min_words, contexts)
+                    columns = [pa.array(h.view(np.int64)), places.make(ids[a + doc], pos), pa.array(around)]
+                    yield pa.RecordBatch.from_arrays(columns[: 2 + contexts], names=["h", "place", "around"][: 2 + contexts])
                     a, size = b + 1, 0
 
-    return keyed_text(documents, id_col, text_col).where("doc_id is not null").mapInArrow(work, f"h long, place {places.type}")
+    return keyed_text(documents, id_col, text_col).where("doc_id is not null").mapInArrow(work, f"h long, place {places.type}" + ", around long" * contexts)
+
+
+def _links(documents: DataFrame, id_col: str, text_col: str, k: int, every: int, min_words: int) -> DataFrame:
+    """(doc, pos, rep, rep_pos): occurrences of seeds and, of those alike around them, the first; some more than once."""
+    places = Places(documents, id_col)
+    first, last, here = F.col("first"), F.col("last"), F.col("place")
+
+    def shared(rows: DataFrame, key: str) -> DataFrame:
+        # a table of its own, so that joins with it can split very common keys
+        both = rows.groupBy(key).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        return stored(both.where(places.doc(first) < places.doc(last)).select(key, "first"))
+
+    common = shared(seeds(documents, places, id_col, text_col, k, every, min_words, False), "h").select("h")
+    held = stored(seeds(documents, places, id_col, text_col, k, every, min_words, True).join(common, "h"))
+    around = F.array(*(F.shiftrightunsigned("around", 16 * t).bitwiseAND(F.lit(0xFFFF)) for t in range(4)))
+    keys = held.select("h", "place", F.posexplode(around).alias("side", "what")).where("what <> 0").select(F.xxhash64("h", "side", "what").alias("key"), "place")
+    links = keys.join(shared(keys, "key"), "key").where(places.doc(here) != places.doc(first))
+    return links.select(places.doc(here).alias("doc"), places.pos(here).alias("pos"), places.doc(first).alias("rep"), places.pos(first).alias("rep_pos"))
 
 
 # --- chains ----------------------------------------------------------------------------------------------------------
@@ -185,14 +250,16 @@ def chain(segments: list[tuple[int, int, int, int]], cost: float = GAP_COST) ->
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of whole documents' links, from batches that are sorted by document."""
+    """Columns of whole pairs' links, each once, from batches that are sorted by pair and place."""
     held: list[np.ndarray] = []
     for b in batches:
         new = [b.column(j).to_numpy(zero_copy_only=False) for j in range(4)]
         own = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
         if not len(own[0]):
             continue
-        last = int(np.searchsorted(own[0], own[0][-1], "left"))
+        once = np.r_[True, np.any([np.diff(x) != 0 for x in own], axis=0)]
+        own = [x[once] for x in own]
+        last = int(np.flatnonzero(np.r_[True, (np.diff(own[0]) != 0) | (np.diff(own[1]) != 0)])[-1])
         if last:
             yield tuple(x[:last] for x in own)
         held = [x[last:] for x in own]
@@ -201,8 +268,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
 
 
 def chains(links: DataFrame, k: int, cost: float) -> DataFrame:
-    """(doc, rep, segments): merged links of each chain, as (chain, x0, x1, y0, y1). A task holds one document's links and a batch."""
-    rows = links.repartition("doc").sortWithinPartitions("doc", "rep", "pos", "rep_pos").select("doc", "rep", "pos", "rep_pos")
+    """(doc, rep, segments): merged links of each chain, as (chain, x0, x1, y0, y1). A task holds one pair's links and a batch."""
+    rows = links.repartition("doc", "rep").sortWithinPartitions("doc", "rep", "pos", "rep_pos").select("doc", "rep", "pos", "rep_pos")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int32())
@@ -283,66 +350,87 @@ def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i[found[:, 0]], j[found[:, 1]]
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far equal words go on from the start, over single other words with three equal ones behind; and the equal ones."""
-    n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    at = equal = 0
-    while at < n:
-        if same[at]:
-            at, equal = at + 1, equal + 1
-        elif at + 4 <= n and same[at + 1 : at + 4].all():
-            at, equal = at + 4, equal + 3
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Places of equal words from the start on, how many of them outweigh the words between them (the others do so but for
+    SLACK), and whether a ended before that was clear."""
+    xs: list[int] = []
+    ys: list[int] = []
+    x = y = score = best = kept = far = 0
+    while x < len(a) and y < len(b) and best - score <= DROP:
+        n = min(len(a) - x, len(b) - y, 64 * BLOCK)
+        differ = np.flatnonzero(a[x : x + n] != b[y : y + n])
+        run = int(differ[0]) if len(differ) else n
+        if run:
+            xs += range(x, x + run)
+            ys += range(y, y + run)
+            x, y, score = x + run, y + run, score + run
         else:
-            break
-    return at, equal
-
-
-def align(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int, int]]) -> tuple[tuple[int, int, int, int], np.ndarray, np.ndarray]:
-    """(start, end, start, end) of a chain in both texts, ends moved outwards as far as the words agree, and the places of equal words."""
+            i, j = _common(a[x : x + BLOCK], b[y : y + BLOCK])
+            if not len(i):
+                score -= BLOCK
+                break
+            px = py = -1
+            for u, v in zip(i.tolist(), j.tolist(), strict=True):
+                score += 2 - max(u - px, v - py)
+                px, py = u, v
+                xs.append(x + u)
+                ys.append(y + v)
+                if score > best:
+                    best, kept = score, len(xs)
+                if best - score <= SLACK:
+                    far = len(xs)
+            x, y = x + px + 1, y + py + 1
+        if score > best:
+            best, kept = score, len(xs)
+        if best - score <= SLACK:
+            far = len(xs)
+    return np.array(xs[:far], dtype=np.int64), np.array(ys[:far], dtype=np.int64), kept, len(a) - x < BLOCK and y < len(b) and best - score <= DROP
+
+
+def align(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, slice, tuple[bool, bool]]:
+    """Places of a chain's equal words in both texts, beyond its ends as far as words agree, the slice of them that does not
+    count on SLACK, and whether the first text ended while words still agreed, on either side."""
     xs, ys = [], []
 
     def add(x: int, y: int, at: tuple[np.ndarray, np.ndarray]) -> None:
         xs.append(x + at[0])
         ys.append(y + at[1])
 
-    def diagonal(x: int, y: int, n: int) -> None:
-        add(x, y, (np.flatnonzero(a[x : x + n] == b[y : y + n]),) * 2)
-
     def between(x1: int, y1: int) -> None:
         if x1 > x and y1 > y and max(x1 - x, y1 - y) > 1:
             add(x, y, _common(a[x:x1], b[y:y1]))
 
     x, _, y, _ = segments[0]
-    more, _ = _extend(a[:x][::-1], b[:y][::-1])
-    left = x - more, y - more
-    diagonal(*left, more)
+    u, v, kept, over_left = _extend(a[:x][::-1], b[:y][::-1])
+    add(x, y, (-1 - u[::-1], -1 - v[::-1]))
+    left = len(u) - kept
     for x0, x1, y0, y1 in segments:
         # Equal words of a link's length are certain; what lies between them is measured in the same way as gaps.
         ends = np.r_[-1, np.flatnonzero(a[x0:x1] != b[y0:y1]), x1 - x0]
         for r in np.flatnonzero(np.diff(ends) > K).tolist():
             begin, n = int(ends[r]) + 1, int(ends[r + 1] - ends[r]) - 1
             between(x0 + begin, y0 + begin)
-            diagonal(x0 + begin, y0 + begin, n)
+            add(x0 + begin, y0 + begin, (np.arange(n),) * 2)
             x, y = x0 + begin + n, y0 + begin + n
         between(x1, y1)
         x, y = x1, y1
-    more, _ = _extend(a[x:], b[y:])
-    diagonal(x, y, more)
-    return (left[0], x + more, left[1], y + more), np.concatenate(xs), np.concatenate(ys)
+    u, v, kept, over_right = _extend(a[x:], b[y:])
+    add(x, y, (u, v))
+    xs, ys = np.concatenate(xs), np.concatenate(ys)
+    return xs, ys, slice(left, len(xs) - len(u) + kept), (over_left, over_right)
 
 
-def parts(span: tuple[int, int, int, int], xs: np.ndarray, ys: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+def parts(xs: np.ndarray, ys: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start, end, likeness) of an aligned chain if it is alike enough, else of its longest parts that are.
 
     A part begins and ends with equal words; one within another that is alike enough is left out, others may overlap.
     """
-    x0, x1, y0, y1 = span
-    like = len(xs) / max(1, x1 - x0, y1 - y0)
-    if like >= similarity:
-        return [(*span, like)] if min(x1 - x0, y1 - y0) >= min_words else []
     if len(xs) < similarity * min_words:
         return []
+    x0, x1, y0, y1 = int(xs[0]), int(xs[-1]) + 1, int(ys[0]), int(ys[-1]) + 1
+    like = len(xs) / max(x1 - x0, y1 - y0)
+    if like >= similarity:
+        return [(x0, x1, y0, y1, like)] if min(x1 - x0, y1 - y0) >= min_words else []
     # Equal words in a row only add to likeness, so parts begin and end where such runs do.
     step = np.flatnonzero((np.diff(xs) != 1) | (np.diff(ys) != 1))
     head, tail = np.r_[0, step + 1], np.r_[step, len(xs) - 1]
@@ -423,12 +511,11 @@ def _aligned(pairs: DataFrame, texts: DataFrame, reach: int | None, min_words: i
                 for segments in own.values():
                     if segments[-1][3] > len(b):
                         continue  # another row of a repeated id
-                    span, xs, ys = align(a, b, segments)
-                    x0, x1, y0, y1 = span
-                    if left and x0 < 4 and y0 > 0 or right and x1 > len(a) - 4 and y1 < len(b):
-                        out.append((d, r, x0 + start, x1 + start, y0, y1, 0.0, True))
+                    xs, ys, sure, over = align(a, b, segments)
+                    if left and over[0] or right and over[1]:
+                        out.append((d, r, start, start, 0, 0, 0.0, True))
                         continue
-                    for x0, x1, y0, y1, like in parts(span, xs, ys, min_words, similarity):
+                    for x0, x1, y0, y1, like in parts(xs[sure], ys[sure], min_words, similarity) or parts(xs, ys, min_words, similarity):
                         out.append((d, r, x0 + start, x1 + start, y0, y1, like, False))
             cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
@@ -436,20 +523,15 @@ def _aligned(pairs: DataFrame, texts: DataFrame, reach: int | None, min_words: i
     return both.mapInArrow(work, "doc long, rep long, x0 int, x1 int, y0 int, y1 int, likeness double, open boolean")
 
 
-def passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, cost: float = GAP_COST, reach: int | None = REACH) -> DataFrame:
+def passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, every: int = EVERY, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, cost: float = GAP_COST, reach: int | None = REACH) -> DataFrame:
     """(doc, rep, x0, x1, y0, y1, likeness): passages, as word ranges, that a document shares with an earlier one.
 
-    A verbatim stretch of k + window - 1 words is always seen. A passage in many documents is linked from each to the
-    least id that has it. Rows without an id take no part; rows of one id count as one document; null and short texts
-    have no passages; repeats within a document do not count.
+    Passages have min_words words or more on both sides, of which the share `similarity` at least is equal and in one
+    order. Rows without an id take no part; rows of one id count as one document; null and short texts have no passages;
+    repeats within a document do not count.
     """
     small_batches(documents.sparkSession)
-    places = Places(documents, id_col)
-    every = seeds(documents, places, id_col, text_col, k, window)
-    first, last, here = F.col("first"), F.col("last"), F.col("place")
-    shared = every.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(places.doc(first) < places.doc(last))
-    links = every.join(stored(shared.select("h", "first")), "h").where(places.doc(here) != places.doc(first))
-    links = links.select(places.doc(here).alias("doc"), places.pos(here).alias("pos"), places.doc(first).alias("rep"), places.pos(first).alias("rep_pos"))
+    links = _links(documents, id_col, text_col, k, every, min_words)
     pairs = cut(chains(links, k, cost))
     texts = keyed_text(documents, id_col, text_col).where("doc_id is not null")
     found = cut(_aligned(pairs, texts, reach, min_words, similarity))
@@ -473,16 +555,11 @@ def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = passages(documents, id_col=id_col, text_col=text_col, **options)
     sides = found.select("doc", "x0", "x1").unionByName(found.select(F.col("rep").alias("doc"), F.col("y0").alias("x0"), F.col("y1").alias("x1")))
     starts = sides.groupBy("doc", "x0").agg(F.max("x1").alias("x1"))  # no more rows than the document has words
-    spans = starts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("spans"))
-    none = F.array().cast("array<struct<x0:int,x1:int>>")
-
-    def joined(done, s):
-        last = F.element_at(done, -1)
-        meets = (F.size(done) > 0) & (s["x0"] <= F.try_element_at(done, F.lit(-1))["x1"])
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["x0"].alias("x0"), F.greatest(last["x1"], s["x1"]).alias("x1"))))
-        return F.when(meets, grown).otherwise(F.concat(done, F.array(F.struct(s["x0"].alias("x0"), s["x1"].alias("x1")))))
-
-    merged = spans.select("doc", F.aggregate("spans", none, joined).alias("spans"))
+    by = Window.partitionBy("doc").orderBy("x0")
+    new = F.coalesce(F.col("x0") > F.max("x1").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    spans = starts.withColumn("new", new.cast("int")).withColumn("number", F.sum("new").over(by))
+    spans = spans.groupBy("doc", "number").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    merged = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("spans"))
     ends = found.select("doc", "rep").distinct()
     n_links = ends.select("doc").unionByName(ends.select(F.col("rep").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_links"))
     classes = connected(ends, "doc", "rep").select(F.col("node").alias("doc"), F.col("root").alias("class_id"))
