@@ -1,10 +1,10 @@
 """Fuzzy repeated passages by collinear chaining.
 
 Every fifth k-mer of words, by its hash, is a seed. Occurrences of a seed that several documents have are told apart by
-what stands around them: the least word hash of the words behind or before it, and the LONG words that begin or end with
-it. Of those alike in one of these, each is linked with the first, so that a passage in m documents makes about m - 1
-links, and documents that share it find each other although others hold parts of it. The links of two documents are
-merged along diagonals and chained with gap costs through a Fenwick tree; chains are aligned word by word, and they or
+what stands around them: the least word hash of the words behind or before it, and the LONG words that begin with it. Of
+those alike in one of these, each is linked with the first, so that a passage in m documents makes about m - 1 links, and
+documents that share it find each other although others hold parts of it. Links whose neighbouring words do not agree
+are dropped before any text is moved. The links of two documents are merged along diagonals and chained with gap costs through a Fenwick tree; chains are aligned word by word, and they or
 their parts are kept if long and alike enough.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import cut, keyed_text, small_batches, stored
+from kinespark.llm.common import cut, discard, keyed_text, release, small_batches, stored
 from kinespark.llm.components import connected
 from kinespark.llm.decontaminate import _LOWER, SHARD_BYTES, split_words
 
@@ -27,8 +27,10 @@ K = 4
 EVERY = 5
 #: Words on one side of a seed of which the least hash is taken.
 NEAR_SEED = 12
-#: Words that begin or end with a seed and must agree as a whole.
+#: Words that begin with a seed and must agree as a whole.
 LONG = 40
+#: Of the four words before and the four behind a seed, so many must agree at least (in four bits of their hashes).
+AGREE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
 GAP_COST = 0.05
@@ -83,11 +85,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, every: int = EVERY, least_words: int = MIN_WORDS, contexts: bool = True) -> tuple[np.ndarray, ...]:
-    """(hash, document, position, contexts) of the seeds of texts that have least_words words or more.
+    """(hash, document, position, contexts, neighbours) of the seeds of texts that have least_words words or more.
 
-    Contexts are four packed numbers of 16 bits, 0 where the text ends too soon: the least hash of NEAR_SEED words behind
-    and before the seed, and the hashes of the LONG words that begin and that end with it. All depend on a text's own
-    words only, and whether a k-mer is a seed on its words alone.
+    Contexts are three packed numbers of 16 bits, 0 where the text ends too soon: the least hash of NEAR_SEED words behind
+    and before the seed, and the hash of the LONG words that begin with it. Neighbours are four bits of each of the eight
+    next words. All depend on a text's own words only, and whether a k-mer is a seed on its words alone.
     """
     sizes = np.diff(bounds)
     sizes = np.where(sizes >= max(least_words, k), sizes, 0)
@@ -97,7 +99,7 @@ def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, every: int = EV
     pos = np.arange(len(doc)) - first[doc]
     n = int(starts[-1] + sizes[-1]) + NEAR_SEED if len(sizes) else NEAR_SEED
     if not len(doc):
-        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int32))
     at = starts[doc] + pos  # words stand NEAR_SEED places apart from those of other texts
     words = np.zeros(n, dtype=np.uint64)
     words[at] = hashes[bounds[doc] + pos]
@@ -109,14 +111,14 @@ def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, every: int = EV
     own = np.flatnonzero(whole & ((mers >> np.uint64(40)) % np.uint64(every) == 0))
     mers, doc, pos, at = mers[own], doc[own], pos[own], at[own]
     if not contexts:
-        return mers, doc, pos, np.zeros(0, dtype=np.int64)
+        return mers, doc, pos, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
     ranks = np.where(words == 0, _FAR, _mixed(words * _MIX) >> np.uint64(1))
     least = _slide(ranks, NEAR_SEED, True)
     up, down = _powers(1 << max(20, n.bit_length()))
     sums = np.r_[np.uint64(0), np.cumsum(words * up[:n], dtype=np.uint64)]
     packed = np.zeros(len(at), dtype=np.uint64)
     end = starts[doc] + sizes[doc]
-    for t, (a, there) in enumerate(((at + k, None), (at - NEAR_SEED, None), (at, at + LONG <= end), (at + k - LONG, at + k - LONG >= starts[doc]))):
+    for t, (a, there) in enumerate(((at + k, None), (at - NEAR_SEED, None), (at, at + LONG <= end))):
         if there is None:
             x = least[a]
             there = x != _FAR
@@ -124,7 +126,11 @@ def seeds_of(hashes: np.ndarray, bounds: np.ndarray, k: int = K, every: int = EV
             a = np.where(there, a, 0)
             x = _mixed((sums[np.minimum(a + LONG, n)] - sums[a]) * down[a])
         packed |= np.where(there, np.maximum(_mixed(x * _MIX) >> np.uint64(48), np.uint64(1)), np.uint64(0)) << np.uint64(16 * t)
-    return mers, doc, pos, packed.view(np.int64)
+    bits = (words * _MIX >> np.uint64(60)).astype(np.uint32)
+    near = np.zeros(len(at), dtype=np.uint32)
+    for j, step in enumerate((-4, -3, -2, -1, k, k + 1, k + 2, k + 3)):
+        near |= bits[at + step] << np.uint32(4 * j)
+    return mers, doc, pos, packed.view(np.int64), near.view(np.int32)
 
 
 #: Bits of a position in a packed place; a text of 2 GB, the longest that a row can hold, has fewer words.
@@ -162,30 +168,34 @@ def seeds(documents: DataFrame, places: Places, id_col: str, text_col: str, k: i
             for b, t in enumerate(texts):
                 size += len(t or "")
                 if size >= SHARD_BYTES // 2 or b == len(texts) - 1:
-                    h, doc, pos, around = seeds_of(*_text_words(texts[a : b + 1]), k, every, min_words, contexts)
-                    columns = [pa.array(h.view(np.int64)), places.make(ids[a + doc], pos), pa.array(around)]
-                    yield pa.RecordBatch.from_arrays(columns[: 2 + contexts], names=["h", "place", "around"][: 2 + contexts])
+                    h, doc, pos, around, near = seeds_of(*_text_words(texts[a : b + 1]), k, every, min_words, contexts)
+                    columns = [pa.array(h.view(np.int64)), places.make(ids[a + doc], pos), pa.array(around), pa.array(near)]
+                    yield pa.RecordBatch.from_arrays(columns[: 2 + 2 * contexts], names=["h", "place", "around", "near"][: 2 + 2 * contexts])
                     a, size = b + 1, 0
 
-    return keyed_text(documents, id_col, text_col).where("doc_id is not null").mapInArrow(work, f"h long, place {places.type}" + ", around long" * contexts)
+    return keyed_text(documents, id_col, text_col).where("doc_id is not null").mapInArrow(work, f"h long, place {places.type}" + ", around long, near int" * contexts)
 
 
-def _links(documents: DataFrame, id_col: str, text_col: str, k: int, every: int, min_words: int) -> DataFrame:
-    """(doc, pos, rep, rep_pos): occurrences of seeds and, of those alike around them, the first; some more than once."""
+def _links(documents: DataFrame, id_col: str, text_col: str, k: int, every: int, min_words: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(doc, pos, rep, rep_pos): occurrences of seeds and, of those alike around them, the first, some more than once; and
+    the stored tables that these are read from."""
     places = Places(documents, id_col)
     first, last, here = F.col("first"), F.col("last"), F.col("place")
-
-    def shared(rows: DataFrame, key: str) -> DataFrame:
-        # a table of its own, so that joins with it can split very common keys
-        both = rows.groupBy(key).agg(F.min("place").alias("first"), F.max("place").alias("last"))
-        return stored(both.where(places.doc(first) < places.doc(last)).select(key, "first"))
-
-    common = shared(seeds(documents, places, id_col, text_col, k, every, min_words, False), "h").select("h")
+    both = [F.min("place").alias("first"), F.max("place").alias("last")]
+    several = places.doc(first) < places.doc(last)
+    # what is shared is a table of its own, so that joins with it can split very common keys
+    common = stored(seeds(documents, places, id_col, text_col, k, every, min_words, False).groupBy("h").agg(*both).where(several).select("h"))
     held = stored(seeds(documents, places, id_col, text_col, k, every, min_words, True).join(common, "h"))
-    around = F.array(*(F.shiftrightunsigned("around", 16 * t).bitwiseAND(F.lit(0xFFFF)) for t in range(4)))
-    keys = held.select("h", "place", F.posexplode(around).alias("side", "what")).where("what <> 0").select(F.xxhash64("h", "side", "what").alias("key"), "place")
-    links = keys.join(shared(keys, "key"), "key").where(places.doc(here) != places.doc(first))
-    return links.select(places.doc(here).alias("doc"), places.pos(here).alias("pos"), places.doc(first).alias("rep"), places.pos(first).alias("rep_pos"))
+    release(documents.sparkSession)
+    around = F.array(*(F.shiftrightunsigned("around", 16 * t).bitwiseAND(F.lit(0xFFFF)) for t in range(3)))
+    keys = held.select("h", "place", "near", F.posexplode(around).alias("side", "what")).where("what <> 0").select(F.xxhash64("h", "side", "what").alias("key"), "place", "near")
+    firsts = stored(keys.groupBy("key").agg(*both, F.min_by("near", "place").alias("first_near")).where(several).select("key", "first", "first_near"))
+    unlike = F.col("near").bitwiseXOR(F.col("first_near"))
+    unlike = unlike.bitwiseOR(F.shiftrightunsigned(unlike, 2))
+    unlike = unlike.bitwiseOR(F.shiftrightunsigned(unlike, 1)).bitwiseAND(F.lit(0x11111111))
+    links = keys.join(firsts, "key").where(places.doc(here) != places.doc(first)).where(F.bit_count(unlike) <= 8 - AGREE)
+    links = links.select(places.doc(here).alias("doc"), places.pos(here).alias("pos"), places.doc(first).alias("rep"), places.pos(first).alias("rep_pos"))
+    return links, (common, held, firsts)
 
 
 # --- chains ----------------------------------------------------------------------------------------------------------
@@ -316,6 +326,21 @@ def _rows(a: list[int], b: list[int]) -> Iterator[int]:
         yield row
 
 
+def _read(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, read from the table's end."""
+    rows = list(_rows(a, b))
+    x, y, out = len(a), len(b), []
+    while x and y:
+        if rows[x - 1] >> y - 1 & 1:
+            y -= 1
+            continue
+        x -= 1
+        if not x or rows[x - 1] >> y - 1 & 1:
+            y -= 1
+            out.append((x, y))
+    return out[::-1]
+
+
 def _lengths(a: list[int], b: list[int]) -> np.ndarray:
     """Lengths of the longest common subsequences of a and each start of b."""
     row = (1 << len(b)) - 1
@@ -327,6 +352,9 @@ def _lengths(a: list[int], b: list[int]) -> np.ndarray:
 
 def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in both texts of a longest common subsequence. Halves are matched one by one where the table has over TABLE_BITS."""
+    if len(a) <= 2 * BLOCK and len(b) <= 2 * BLOCK:  # not worth a set operation
+        found = np.array(_read(a.tolist(), b.tolist()), dtype=np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
     i, j = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
     a, b = a[i], b[j]
     if not len(a):
@@ -336,17 +364,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = int((_lengths(a[:half].tolist(), b.tolist()) + _lengths(a[half:][::-1].tolist(), b[::-1].tolist())[::-1]).argmax())
         (x0, y0), (x1, y1) = _common(a[:half], b[:at]), _common(a[half:], b[at:])
         return i[np.r_[x0, half + x1]], j[np.r_[y0, at + y1]]
-    rows = list(_rows(a.tolist(), b.tolist()))
-    x, y, out = len(a), len(b), []
-    while x and y:
-        if rows[x - 1] >> y - 1 & 1:
-            y -= 1
-            continue
-        x -= 1
-        if not x or rows[x - 1] >> y - 1 & 1:
-            y -= 1
-            out.append((x, y))
-    found = np.array(out[::-1], dtype=np.int64).reshape(-1, 2)
+    found = np.array(_read(a.tolist(), b.tolist()), dtype=np.int64).reshape(-1, 2)
     return i[found[:, 0]], j[found[:, 1]]
 
 
@@ -365,12 +383,12 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int,
             ys += range(y, y + run)
             x, y, score = x + run, y + run, score + run
         else:
-            i, j = _common(a[x : x + BLOCK], b[y : y + BLOCK])
-            if not len(i):
+            block = _read(a[x : x + BLOCK].tolist(), b[y : y + BLOCK].tolist())
+            if not block:
                 score -= BLOCK
                 break
             px = py = -1
-            for u, v in zip(i.tolist(), j.tolist(), strict=True):
+            for u, v in block:
                 score += 2 - max(u - px, v - py)
                 px, py = u, v
                 xs.append(x + u)
@@ -508,7 +526,10 @@ def _aligned(pairs: DataFrame, texts: DataFrame, reach: int | None, min_words: i
                 for i in range(0, len(flat), 5):
                     c, x0, x1, y0, y1 = flat[i : i + 5]
                     own.setdefault(c, []).append((x0 - start, x1 - start, y0, y1))
-                for segments in own.values():
+                done: list[tuple[int, int, int, int]] = []
+                for segments in own.values():  # the best ones first
+                    if any(x0 <= segments[0][0] and segments[-1][1] <= x1 for x0, x1, _, _ in done) and any(y0 <= segments[0][2] and segments[-1][3] <= y1 for _, _, y0, y1 in done):
+                        continue  # within passages of this pair on both sides
                     if segments[-1][3] > len(b):
                         continue  # another row of a repeated id
                     xs, ys, sure, over = align(a, b, segments)
@@ -516,6 +537,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame, reach: int | None, min_words: i
                         out.append((d, r, start, start, 0, 0, 0.0, True))
                         continue
                     for x0, x1, y0, y1, like in parts(xs[sure], ys[sure], min_words, similarity) or parts(xs, ys, min_words, similarity):
+                        done.append((x0, x1, y0, y1))
                         out.append((d, r, x0 + start, x1 + start, y0, y1, like, False))
             cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
@@ -531,8 +553,10 @@ def passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     repeats within a document do not count.
     """
     small_batches(documents.sparkSession)
-    links = _links(documents, id_col, text_col, k, every, min_words)
+    links, tables = _links(documents, id_col, text_col, k, every, min_words)
     pairs = cut(chains(links, k, cost))
+    discard(*tables)
+    release(documents.sparkSession)
     texts = keyed_text(documents, id_col, text_col).where("doc_id is not null")
     found = cut(_aligned(pairs, texts, reach, min_words, similarity))
     again = cut(found.where("open").select("doc", "rep").distinct())

@@ -291,13 +291,13 @@ def test_seeds_do_not_depend_on_other_texts():
     rng = random.Random(9)
     texts = [prose(rng, n) for n in (5, 50, 49, 200, 8, 60)]
     hashes, bounds = passages._text_words(texts)
-    h, doc, pos, around = passages.seeds_of(hashes, bounds)
+    h, doc, pos, around, near = passages.seeds_of(hashes, bounds)
     for k, t in enumerate(texts):
         alone = passages.seeds_of(*passages._text_words([t]))
-        assert all(x[doc == k].tolist() == y.tolist() for x, y in ((h, alone[0]), (pos, alone[2]), (around, alone[3])))
+        assert all(x[doc == k].tolist() == y.tolist() for x, y in ((h, alone[0]), (pos, alone[2]), (around, alone[3]), (near, alone[4])))
     assert set(doc.tolist()) == {1, 3, 5}  # shorter ones can have no passage
     w = words(texts[3])
-    all_seeds, _, all_pos, _ = passages.seeds_of(hashes, bounds, every=1)
+    _, _, all_pos, _, _ = passages.seeds_of(hashes, bounds, every=1)
     assert set(pos[doc == 3].tolist()) <= set(range(len(w) - passages.K + 1)) and len(all_pos) == sum(len(words(texts[k])) - passages.K + 1 for k in (1, 3, 5))
 
 
