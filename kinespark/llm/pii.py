@@ -1,12 +1,14 @@
-"""Personal data by anchor expansion.
+"""Personal data and secrets by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, plus signs, digits, address schemes and identifier cues. From each
+An Aho-Corasick automaton finds anchors: at-signs, plus signs, digits, colons, address schemes, cues of identifiers and
+secrets, and beginnings of well-known keys. From each
 anchor a deterministic local parser expands left and right to the boundaries of one kind and validates what it has.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -17,12 +19,14 @@ from pyspark.sql import DataFrame
 from kinespark.llm.common import keyed_text, small_batches
 
 #: Kinds in the order of the digests; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account", "secret", "ipv6")
 BASE = KINDS[:4]
 
 # Schemes, and cues before which an identifier may stand, in lower case.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account", "passport": "account"}
+SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api_key", "api-key", "apikey", "api key", "access_key", "access-key", "access key", "auth_key", "private_key", "private-key", "client_secret", "bearer", "authorization", "credential")
+KEY_STARTS = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "AKIA", "ASIA", "AIza", "xoxb-", "xoxp-", "xoxa-", "hf_", "npm_", "pypi-", "eyJ")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,6 +38,11 @@ _AFTER_CUE = re.compile(r"[\x20\t]*(?:no|nr|number|num)?[.:#=\x20\t-]{0,4}", re.
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(r"[A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,17}(?![A-Za-z0-9])")
+#: Between a cue and its secret: the rest of a name, a sign, quotes; or just blanks, as behind "Bearer".
+_ASSIGNED = re.compile(r"[A-Za-z0-9_-]{0,24}[\"'`]?[\x20\t]*(?:=>|:=|==|[:=]|\bis\b)[\x20\t]*(?:[Bb]earer[\x20\t]+)?[\"'`]?|[\x20\t]+")
+_SECRET = re.compile(r"[A-Za-z0-9_./+=~-]+")
+_CHOSEN = re.compile(r"[^\s\"'`,;<>]+")
+_HEX_GROUPS = frozenset("0123456789abcdefABCDEF:")
 _DIGITS = "0123456789"
 
 
@@ -49,6 +58,12 @@ def _automaton() -> ahocorasick.Automaton:
     for cue, kind in CUES.items():
         for form in (cue, cue.upper(), cue.capitalize(), cue.title()):
             a.add_word(form, (kind, len(form)))
+    a.add_word(":", ("6", 1))
+    for cue in SECRET_CUES:
+        for form in (cue, cue.upper(), cue.capitalize(), cue.title()):
+            a.add_word(form, ("secret" if cue[:4] != "pass" and cue != "pwd" else "chosen", len(form)))
+    for start in KEY_STARTS:
+        a.add_word(start, ("key", len(start)))
     a.make_automaton()
     return a
 
@@ -71,6 +86,32 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _secret_end(text: str, begin: int, least: int) -> int:
+    """End of a secret that begins there, or begin: letters and digits mixed, or hexadecimal, of so many at least."""
+    value = _SECRET.match(text, begin)
+    end = begin + len(value[0].rstrip("./=-")) if value else begin
+    own = text[begin:end]
+    return end if end - begin >= least and any(c in _DIGITS for c in own) and any(map(str.isalpha, own)) else begin
+
+
+def _ipv6_span(text: str, at: int) -> tuple[int, int] | None:
+    start = end = at
+    while start and text[start - 1] in _HEX_GROUPS and at - start < 40:
+        start -= 1
+    while end < len(text) and text[end] in _HEX_GROUPS and end - at < 40:
+        end += 1
+    if text[end - 1] == ":" and text[end - 2 : end] != "::":
+        end -= 1
+    own = text[start:end]
+    if (start and (text[start - 1].isalnum() or text[start - 1] in "_.")) or (end < len(text) and (text[end].isalnum() or text[end] == "_")) or own.count(":") < 2 or sum(map(bool, own.split(":"))) < 3:
+        return None
+    try:
+        ipaddress.IPv6Address(own)
+    except ValueError:
+        return None
+    return start, end
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -80,7 +121,7 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind, by start, in code points, the end exclusive. Spans of one kind do not overlap."""
     text = text or ""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    done = dict.fromkeys(("@", "+", "ip", "card", ":", "iban", "ssn", "account"), 0)
+    done = dict.fromkeys(("@", "+", "ip", "card", ":", "iban", "ssn", "account", "secret", "6"), 0)
     for last, (mark, size) in _FINDER.iter(text):
         at = last - size + 1
         if mark == "0":
@@ -127,6 +168,29 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                     if end > at + size:
                         out["url"].append((at, end))
                         done[":"] = end
+        elif mark == "6":
+            if at >= done["6"]:
+                found = _ipv6_span(text, at)
+                if found:
+                    out["ipv6"].append(found)
+                    done["6"] = found[1]
+        elif mark == "key":
+            if at >= done["secret"] and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+                end = _secret_end(text, at, 20)
+                if end > at:
+                    out["secret"].append((at, end))
+                    done["secret"] = end
+        elif mark in ("secret", "chosen"):
+            gap = _ASSIGNED.match(text, last + 1)
+            begin = gap.end() if gap else last + 1
+            if gap and begin >= done["secret"]:
+                end = _secret_end(text, begin, 16)
+                if end == begin and mark == "chosen" and not gap[0].isspace():  # a person chose it: any form
+                    value = _CHOSEN.match(text, begin)
+                    end = value.end() if value and value.end() - begin >= 6 and any(not c.isalpha() for c in value[0]) else begin
+                if end > begin:
+                    out["secret"].append((begin, end))
+                    done["secret"] = end
         else:
             if (at and text[at - 1].isalnum()) or last + 1 < len(text) and text[last + 1].isalpha():
                 continue
@@ -162,7 +226,9 @@ def redact(text: str, found: dict[str, list[tuple[int, int]]]) -> str:
 def find_personal_data(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Counts, digest and spans of personal data, a row for each row of documents, and the redacted text if asked for.
 
-    Null texts count as empty and stay null when redacted; texts without personal data have zeros and empty strings.
+    Null texts count as empty and stay null when redacted; texts without personal data have zeros and empty strings; equal
+    texts and repeated rows get equal results; texts of any length are read whole; other columns are not read. Base kinds
+    are counted and digested apart from those that the method adds.
     """
     small_batches(documents.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
@@ -183,7 +249,7 @@ def find_personal_data(documents: DataFrame, *, id_col: str = "doc_id", text_col
 
 
 def redact_column(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns of documents, the text column redacted."""
+    """All rows and columns of documents, the text column redacted; null and empty texts stay as they are."""
     small_batches(documents.sparkSession)
     at = documents.columns.index(text_col)
 
