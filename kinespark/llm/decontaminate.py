@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import filter_rows, keyed_text, small_batches
+from kinespark.llm.common import BATCH_BYTES, filter_rows, keyed_text, small_batches
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -29,8 +29,7 @@ _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 OUT = (
     "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>, "
@@ -38,16 +37,16 @@ OUT = (
 )
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(max(n, SHARD_BYTES + 1), base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        steps = [np.full(max(n, SHARD_BYTES + 1), x, dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+        for x in steps:
+            x[0] = 1
+        _POWERS[base] = np.cumprod(steps[0], dtype=np.uint64), np.cumprod(steps[1], dtype=np.uint64)
+    return _POWERS[base]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_words(data: np.ndarray, offsets: np.ndarray, base: int = _BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in lower-cased bytes, and 64-bit hashes; no word crosses one of the offsets."""
     n = len(data)
     mask = _IS_WORD[data]
@@ -59,7 +58,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         first[cuts] = mask[cuts]
         last[cuts - 1] = mask[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n + 1)
+    up, down = _powers(n + 1, base)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]
@@ -71,22 +70,21 @@ class TestBlock:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, base: int = _BASE):
         raw = [t.encode() for _, t in items]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64)
         data = _LOWER[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        starts, ends, hashes = split_words(data, offsets)
         self.names = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.names)}
-        vocab, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
-        self.vocab = vocab
-        self.bytes = data
-        self.word_start, self.word_len = np.r_[0, starts[first]], np.r_[0, ends[first] - starts[first]]
-        # words whose hash another word of the test set has as well get a further id each
-        words = [data[a:b].tobytes() for a, b in zip(starts[first], ends[first], strict=True)]
-        self.clash = any(data[a:b].tobytes() != words[i] for a, b, i in zip(starts, ends, ids, strict=True))
-        if self.clash:
-            raise ValueError("two test words have one 64-bit hash; change _BASE")
+        self.bytes, self.base = data, base
+        while True:  # until no two words have one hash
+            starts, ends, hashes = split_words(data, offsets, self.base)
+            self.vocab, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+            self.word_start, self.word_len = np.r_[0, starts[first]], np.r_[0, ends[first] - starts[first]]
+            if not self.differs(ids + 1, data, starts, ends).any():
+                break
+            self.base = (self.base * 5 + 2) % (1 << 64) | 1
+        vocab = self.vocab
         bounds = np.searchsorted(starts, offsets)
         self.longest = 0
         parts, q_start, q_window, q_item, q_at, at = [], [], [], [], [], 0
@@ -205,6 +203,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, blocks, most: int = 1 << 20) ->
     """Search one shard of documents (bytes and their offsets) for the test items of all blocks."""
     data = _LOWER[data]
     starts, ends, hashes = split_words(data, offsets)
+    base = _BASE
     n_docs, n_words = len(offsets) - 1, len(starts)
     bounds = np.searchsorted(starts, offsets)
     out = [{"n_words": int(b - a), "items": set(), "longest": 0, "longest_at": None, "longest_item": None, "longest_item_at": None} for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -212,6 +211,8 @@ def scan(data: np.ndarray, offsets: np.ndarray, blocks, most: int = 1 << 20) ->
     begins = np.zeros(n_words + 1, dtype=bool)
     begins[bounds] = True
     for block in blocks:
+        if block.base != base:
+            base, hashes = block.base, split_words(data, offsets, block.base)[2]
         ids = block.word_ids(hashes)
         while True:
             at = np.flatnonzero(ids)
@@ -326,9 +327,10 @@ def _scanner(documents: DataFrame, benchmark: DataFrame, item_col: str, item_tex
         _, where, raw = texts.buffers()
         where = np.frombuffer(where, dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
         raw = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
-        rows, a = [], 0
+        # of several blocks each is loaded once a batch
+        rows, a, size = [], 0, SHARD_BYTES if len(shared) < 2 else BATCH_BYTES
         while a < n:
-            b = max(a + 1, int(np.searchsorted(where, where[a] + SHARD_BYTES, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(where, where[a] + size, "right")) - 1)
             rows += scan(raw[where[a] : where[b]], where[a : b + 1] - where[a], loaded())
             a = b
         return rows
