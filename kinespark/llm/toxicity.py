@@ -21,8 +21,6 @@ from kinespark.llm.common import filter_rows, fold, keyed_text, small_batches
 
 #: Bound of the labelled sample that the classifier is fitted to.
 SAMPLE_ROWS = 20_000
-#: Bound of the learned lexicon.
-LEXICON_SIZE = 4_000
 
 # Insults and second-person words of the languages at hand.
 INSULTS = frozenset(
@@ -194,7 +192,7 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1][1] += n
             blocks[-1][3] = top
     knots = np.array([k for b in blocks for k in (b[2], b[3])])
-    values = np.maximum.accumulate(np.array([(b[0] + 0.5 * (b[0] / b[1])) / (b[1] + 0.5) for b in blocks for _ in (0, 1)])) if blocks else np.zeros(0)
+    values = np.maximum.accumulate(np.array([(b[0] + 0.5) / (b[1] + 1.0) for b in blocks for _ in (0, 1)])) if blocks else np.zeros(0)
     return knots, np.clip(values, 0.0, 1.0)
 
 
@@ -217,25 +215,28 @@ class Model:
 
 
 def _sample(documents: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, holdout: tuple[int, int] | None, sample_rows: int) -> DataFrame:
-    """Texts and labels of the sample: the ids with the least hashes, never more than sample_rows."""
+    """Texts and labels of the sample: of the labelled ids that have a document those with the least hashes, sample_rows at
+    most, one row each. An id with both labels counts as toxic; of several texts of an id the one with the least hash counts."""
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if holdout:
         known = known.where(fold("doc_id", holdout[0]) != holdout[1])
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known.join(documents.select(F.col(f"`{id_col}`").alias("doc_id")), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # 16 bytes a row and sample_rows rows at most: small enough to send whole
     rows = documents.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in chosen.collect()], "doc_id long, y int")
-    return keyed_text(documents, id_col, text_col).join(F.broadcast(rows), "doc_id")
+    sample = keyed_text(documents, id_col, text_col).join(F.broadcast(rows), "doc_id")
+    return sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
-    """Terms that tell toxic from other texts, with their log odds."""
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Terms of three toxic texts or more that tell these from other texts, with their log odds. The sample bounds them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: dict[str, list[int]] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in {t for w in set(_WORD.findall((text or "").lower())) if len(w) <= 40 for t in terms(w)}:
+                for t in {t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)}:
                     count.setdefault(t, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([v[0] for v in count.values()], pa.int64()), pa.array([v[1] for v in count.values()], pa.int64())], names=["term", "n0", "n1"])
 
@@ -245,15 +246,15 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> dict[str, floa
         return {}
     odds = F.log((F.col("n1") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(clean + 1.0))
     best = sample.select("text", "y").mapInArrow(work, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n1") >= 3).withColumn("odds", odds)
-    best = best.where(F.col("odds") >= 2.5).orderBy(F.desc(F.col("odds") * F.log1p("n1")), "term").limit(size)
-    return {r["term"]: float(r["odds"]) for r in best.collect()}
+    return {r["term"]: float(r["odds"]) for r in best.where(F.col("odds") >= 2.5).orderBy("term").collect()}
 
 
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", holdout: tuple[int, int] | None = (5, 0), sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit lexicon, trees and calibration to at most sample_rows labelled documents.
 
-    Rows whose crc32(id as text) mod holdout[0] is holdout[1] are left out. The lexicon is learned from four fifths of
-    the sample and the trees from the rest and from these, calibration from a fifth that neither has seen. Without
+    Rows whose crc32(id as text) mod holdout[0] is holdout[1] are left out. The lexicon is learned from two fifths of the
+    sample, the trees from two others, as the lexicon's own rows flatter its features, and the calibration from a fifth
+    that neither has seen. With fewer than five rows of a label for the trees, they see the lexicon's rows as well. Without
     both labels, or without any, every score is the share of toxic rows (a half if there are none).
     """
     small_batches(documents.sparkSession)
@@ -275,7 +276,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", id_c
     # the lexicon's own rows flatter its features, so the trees see the others only
     fit, tune = (at == 2) | (at == 3), at == 4
     if min(y[fit].sum(), (1 - y[fit]).sum()) < 5:
-        fit = at >= 0
+        fit = at < 4
     if 0 < y[fit].sum() < fit.sum():
         booster.fit(x[fit], y[fit])
     else:
