@@ -107,11 +107,12 @@ def train(documents: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id
 
     sums = rows.select("text", "lang").mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
-    names, buckets, n = found.column("lang").to_pylist(), found.column("bucket").to_numpy(), found.column("n").to_numpy()
-    langs = sorted(set(names))
+    names, buckets, n = found.column("lang").combine_chunks().dictionary_encode(), found.column("bucket").to_numpy(), found.column("n").to_numpy()
+    known = names.dictionary.to_pylist()
+    langs = sorted(known)
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    column = np.array([langs.index(x) for x in names], dtype=np.int64)
+    column = np.array([langs.index(x) for x in known], dtype=np.int64)[names.indices.to_numpy()]
     counts = np.zeros((BUCKETS + 1, len(langs)))
     docs = np.zeros(len(langs))
     own = buckets >= 0
