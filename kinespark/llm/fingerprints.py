@@ -94,8 +94,9 @@ def _cuts_below(cuts: list[float], x: Column) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + count(F.slice(whole, (coarse - 1) * step + 1, step)))
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, buckets: int | None = None) -> DataFrame:
-    """Add next_text: the text of the row that follows by descending id; after the last comes the first.
+def with_next(df: DataFrame, id_col: str, text_col: str, buckets: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """Add next_text: the text of the row that follows by descending id; after the last comes the first. So with columns
+    named in `also`.
 
     Rows go to buckets of neighbouring ids; the first row of each bucket is also put at the end of the one before, so
     that a window within buckets sees every neighbour. One shuffle, and no task holds more than a bucket. Rows of one
@@ -104,7 +105,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, buckets: int | None = N
     spark = df.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = -(1 << 63)
-    base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col), F.lit(low)).alias("__id"))
+    base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col), F.lit(low)).alias("__id"), *also)
     x = F.col("__id").cast("double")
     cuts = base.select(x.alias("x")).approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
     cuts = sorted(set(cuts))
@@ -115,9 +116,10 @@ def with_next(df: DataFrame, id_col: str, text_col: str, buckets: int | None = N
     at = lambda values, kind: F.element_at(F.array(*[F.lit(values.get(b)).cast(kind) for b in range(len(cuts) + 1)]), F.col("__bucket") + 1)
     own, guest = F.struct(F.col("__bucket").alias("bucket"), F.lit(0).alias("guest")), F.struct(at(before, "int").alias("bucket"), F.lit(1).alias("guest"))
     copies = F.when(at(heads, "long") == F.col("__id"), F.array(own, guest)).otherwise(F.array(own))
-    dealt = base.withColumn("__c", F.explode(copies)).select("doc_id", "text", "__id", F.col("__c.bucket").alias("__bucket"), F.col("__c.guest").alias("__guest"))
+    dealt = base.withColumn("__c", F.explode(copies)).select("doc_id", "text", "__id", *also, F.col("__c.bucket").alias("__bucket"), F.col("__c.guest").alias("__guest"))
     own = Window.partitionBy("__bucket").orderBy("__guest", F.desc("__id"), F.xxhash64("text"), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(own)).where("__guest = 0").select("doc_id", "text", "next_text")
+    names = ("text", *also)
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(own) for c in names}).where("__guest = 0").select("doc_id", *names, *(f"next_{c}" for c in names))
 
 
 def fingerprint_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, n: int = SHINGLE) -> DataFrame:
@@ -127,13 +129,12 @@ def fingerprint_documents(documents: DataFrame, *, id_col: str = "doc_id", text_
     of a shorter one). A row for each row of documents; null texts count as empty; an empty text has an empty
     fingerprint, like 1 to another empty one and 0 to the rest; a single document is its own next.
     """
-    rows = with_next(documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), "id", "text")
+    rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = with_next(with_sketch(rows, "text", "sketch", k, n), "id", "text", also=("sketch",))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
-    rows = with_sketch(rows, "text", "sketch", k, n)
     rows = with_sketch(rows, "edited", "edited_sketch", k, n)
-    rows = with_sketch(rows, "next_text", "next_sketch", k, n)
     return rows.select("doc_id", "n_chars", "edited", "sketch", "edited_sketch", "next_sketch")
 
 
