@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import cut, keyed_text, small_batches, stored
@@ -142,8 +142,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_variants: int = BUCK
     return dealt.groupBy("bucket").applyInArrow(work, "a long, b long")
 
 
-def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id that links of fingerprints lead to.
+def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, with_root: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the least doc_id that links of fingerprints lead to; with_root adds root,
+    the component's least fingerprint, which tells components apart where rows repeat an id.
 
     Fingerprints link at radius or fewer differing bits, equal ones included; texts without words, null included, have
     fingerprint 0. A row for each row of documents. Null ids do not count as least; a component of null ids has null.
@@ -153,28 +154,39 @@ def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = connected(links(classes.select("fp"), radius))
     rooted = found.join(classes, found["node"] == classes["fp"]).select("node", "root", "least")
     best = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    joined = rooted.join(best, "root").select(F.col("node").alias("fp"), "component_id")
+    joined = rooted.join(best, "root").select(F.col("node").alias("fp"), "component_id", "root")
     # a table of its own, so that the last join can split a fingerprint that very many documents have
-    named = stored(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", *["root"] * with_root)
 
 
 def keep_first(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of documents, with all its columns, for each component: that of the least id.
 
-    Of rows that repeat this id one stays. A row without an id goes if its component has one with an id; else it takes
-    part under a number made of its text, and one row of the component stays.
+    Rows that repeat an id are rows of their own: of several with the component's least id the one whose text has the
+    least hash stays; of rows that repeat id and text any one. A row without an id goes if its component has one with an
+    id; else it takes part under a number made of its text, and one row of the component stays. Null and empty texts are
+    copies of one another; an empty table stays empty.
     """
-    spare = F.shiftrightunsigned(F.xxhash64(F.col(f"`{text_col}`").cast("string")), 2) + F.lit(1 << 62)
+    text = F.col(f"`{text_col}`").cast("string")
     own = "__id"
-    while own in documents.columns:
+    while any(c.startswith(own) for c in documents.columns):
         own += "_"
-    rows = documents.withColumn(own, F.coalesce(F.col(f"`{id_col}`"), spare))
-    found = components(rows, id_col=own, text_col=text_col, radius=radius)
-    stay = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias(own), "n"))
-    kept = rows.join(stay.where("n = 1").select(own), own, "left_semi")
-    if stay.where("n > 1").limit(1).count():
-        kept = kept.unionByName(rows.join(stay.where("n > 1").select(own), own, "left_semi").dropDuplicates([own]))
+    key = own + "k"
+    rows = documents.withColumn(own, F.coalesce(F.col(f"`{id_col}`"), F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62)))
+    found = components(rows, id_col=own, text_col=text_col, radius=radius, with_root=True).where("doc_id = component_id")
+    stay = cut(found.groupBy("doc_id", "root").agg(F.count("*").alias("n")))
+    stay = stay.withColumn("n", F.sum("n").over(Window.partitionBy("doc_id")))  # a row for each component of an id
+    kept = rows.join(stay.where("n = 1").select(F.col("doc_id").alias(own)), own, "left_semi")
+    several = stay.where("n > 1")
+    if several.limit(1).count():
+        # rows of ids that several rows have: told apart by id and text
+        again = rows.join(several.select(F.col("doc_id").alias(own)).distinct(), own, "left_semi").withColumn(key, F.xxhash64(F.col(own), text))
+        fps = fingerprints(again, id_col=key, text_col=text_col).select(F.col("doc_id").alias(key), "fp").distinct()
+        of = again.select(own, key).distinct().join(fps, key)
+        roots = found.select(F.col("doc_id").alias(own), "fp", "root").distinct()
+        first = of.join(roots, [own, "fp"]).groupBy(own, "root").agg(F.min(key).alias(key)).select(key)
+        kept = kept.unionByName(again.join(first, key, "left_semi").dropDuplicates([key]).drop(key))
     return kept.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 

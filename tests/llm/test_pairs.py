@@ -111,6 +111,15 @@ def test_near_copies_of_odd_rows(spark):
     assert simhash.components(odd(spark).where("false")).count() == 0 and simhash.keep_first(odd(spark).where("false")).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Texts of one id that are no copies of each other both stay; copies under any id go."""
+    rng = random.Random(17)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (4, c), (4, c), (None, a), (None, prose(rng, 200))]
+    kept = sorted(map(tuple, simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (4, c), rows[-1]], key=str)
+
+
 # --- sketches ---
 
 
