@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinespark.llm import chat, decontaminate, language, pii, queries, simhash, toxicity
@@ -139,6 +140,9 @@ def test_long_conversations_are_whole(spark):
     short = chat.format_conversations(df, inline=50)
     assert short.where("text_from > 0").count() > 0
     assert sorted(map(tuple, chat.read_back(short).collect())) == want
+    assert sorted(map(tuple, chat.read_back(short.orderBy(F.rand(1))).collect())) == want
+    with pytest.raises(Exception, match="does not go on"):
+        chat.read_back(chat.format_conversations(df).withColumn("text", F.when(F.col("example") == 1, F.regexp_replace("text", "e", "x")).otherwise(F.col("text")))).collect()
     assert sorted(map(tuple, chat.expanded(short).collect())) == sorted(map(tuple, chat.expanded(chat.format_conversations(df)).collect())) == whole
 
 
