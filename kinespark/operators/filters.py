@@ -27,13 +27,16 @@ AHRS = ("angular rate", "ekf", "madgwick", "mahony")
 class RelativeFilter:
     """Settings of the relative filter. Deviations are squared into covariances, or put there as they are (`plain`).
 
-    joint: None, '1dof' (axes in both frames coincide) or '2dof' (axes at a fixed angle); `jacobian` of the latter is
+    gyro and sensors hold the parent's deviations, gyro_c and sensors_c the child's where these differ; there is a triple
+    for each vector sensor. Axes count by their directions. joint: None, '1dof' (axes in both frames coincide) or '2dof' (axes at a fixed angle); `jacobian` of the latter is
     'published' (in world axes) or 'corrected'. `drop_zero` leaves the second sensor out of an update
     where either side reads zero.
     """
 
     gyro: tuple[float, ...] = (0.1, 0.1, 0.1)
     sensors: tuple[tuple[float, ...], ...] = ((0.05**0.5,) * 3, (0.05**0.5,) * 3)
+    gyro_c: tuple[float, ...] | None = None
+    sensors_c: tuple[tuple[float, ...], ...] | None = None
     plain: bool = False
     drop_zero: bool = False
     joint: str | None = None
@@ -50,6 +53,23 @@ class RelativeFilter:
             raise ValueError("a joint needs both axes and a deviation")
         if self.jacobian not in ("published", "corrected"):
             raise ValueError(f"unknown jacobian {self.jacobian!r}")
+        for name, value in (("gyro_c", self.gyro), ("sensors_c", self.sensors)):
+            if getattr(self, name) is None:
+                object.__setattr__(self, name, value)
+        if len(self.sensors) != len(self.sensors_c):
+            raise ValueError("both sides need as many sensors")
+        if any(np.shape(x) != (3,) for x in (self.gyro, self.gyro_c, *self.sensors, *self.sensors_c)):
+            raise ValueError("deviations come in threes")
+        if not self.sensors and not self.joint:
+            raise ValueError("a filter needs a vector sensor or a joint")
+        if self.joint:
+            for name in ("axis_p", "axis_c"):
+                axis = np.asarray(getattr(self, name), dtype=np.float64)
+                if axis.shape != (3,) or not np.linalg.norm(axis) > 0:
+                    raise ValueError(f"{name} is no direction")
+                object.__setattr__(self, name, tuple((axis / np.linalg.norm(axis)).tolist()))
+            if np.shape(self.joint_std) not in ((), (1,)) + ((3,),) * (self.joint == "1dof"):
+                raise ValueError("the joint's deviation has another number of values")
 
     def variance(self, std) -> np.ndarray:
         x = np.asarray(std, dtype=np.float64)
@@ -92,8 +112,7 @@ def measurement(f: RelativeFilter, rp: np.ndarray, rc: np.ndarray, p: list[np.nd
     for i in range(k):
         up, uc = (x / np.where(m == 0, 1.0, m) for x, m in ((x, np.linalg.norm(x, axis=1, keepdims=True)) for x in (p[i], c[i])))
         directions(3 * i, up, uc)
-        r = f.variance(f.sensors[i])
-        noise[:, 3 * i : 3 * i + 3, 3 * i : 3 * i + 3] = (rp * r) @ rp.swapaxes(1, 2) + (rc * r) @ rc.swapaxes(1, 2)
+        noise[:, 3 * i : 3 * i + 3, 3 * i : 3 * i + 3] = (rp * f.variance(f.sensors[i])) @ rp.swapaxes(1, 2) + (rc * f.variance(f.sensors_c[i])) @ rc.swapaxes(1, 2)
         if f.drop_zero and i:
             gone = (np.linalg.norm(p[i], axis=1) == 0) | (np.linalg.norm(c[i], axis=1) == 0)
             e[gone, 3 * i : 3 * i + 3] = 0.0
@@ -117,12 +136,13 @@ def measurement(f: RelativeFilter, rp: np.ndarray, rc: np.ndarray, p: list[np.nd
 
 def step(f: RelativeFilter, s: State, gp: np.ndarray, gc: np.ndarray, p: list[np.ndarray], c: list[np.ndarray], dt) -> State:
     """One prediction and update of a batch; dt is one number or one for each member."""
+    if not len(p) == len(c) == len(f.sensors):
+        raise ValueError(f"{len(f.sensors)} sensors a side are wanted")
     dt = np.broadcast_to(np.asarray(dt, dtype=np.float64), (len(gp),))[:, None]
     up, uc = rotations.exp(dt * gp), rotations.exp(dt * gc)
     rp, rc = s.rp @ up, s.rc @ uc
     turn = _blocks(up, uc)
-    q = f.variance(f.gyro)
-    cov = turn @ s.cov @ turn.swapaxes(1, 2) + dt[..., None] ** 2 * np.diag(np.concatenate([q, q]))
+    cov = turn @ s.cov @ turn.swapaxes(1, 2) + dt[..., None] ** 2 * np.diag(np.concatenate([f.variance(f.gyro), f.variance(f.gyro_c)]))
     e, h, noise = measurement(f, rp, rc, p, c)
     ph = cov @ h.swapaxes(1, 2)
     gain = np.linalg.solve(h @ ph + noise, ph.swapaxes(1, 2)).swapaxes(1, 2)
@@ -133,6 +153,12 @@ def step(f: RelativeFilter, s: State, gp: np.ndarray, gc: np.ndarray, p: list[np
     return State(rp @ dp, rc @ dc, turn @ cov @ turn.swapaxes(1, 2))
 
 
+def _dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups dealt to a fixed number of tasks: few bytes are much work here, so small partitions must not be merged."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 # --- relative filter over a table ------------------------------------------------------------------------------------
 
 
@@ -194,7 +220,7 @@ def run_relative(df: DataFrame, trial: Sequence[str], member: Sequence[str] = ("
         made[v.names("q", v.WXYZ)] = rotations.to_quat(out)
         return made
 
-    return need.groupBy(*trial).applyInPandas(work, schema)
+    return _dealt(need, trial).groupBy(*trial).applyInPandas(work, schema)
 
 
 def truth(df: DataFrame, qp: str = "qp", qc: str = "qc") -> DataFrame:
@@ -215,6 +241,11 @@ def _norm(x: np.ndarray) -> np.ndarray:
 
 
 def angular_rate_step(q, g, a, m, dt, **_):
+    """Integration of the gyro alone, by the first term of its series."""
+    return _norm(q + _qdot(q, g) * dt)
+
+
+def closed_rate_step(q, g, a, m, dt, **_):
     """Integration of the gyro alone, in closed form."""
     n = np.linalg.norm(g, axis=-1, keepdims=True) * dt / 2
     k = np.where(n < 1e-9, dt / 2, np.sin(n) / np.where(n < 1e-9, 1.0, n) * dt / 2)
@@ -289,7 +320,7 @@ def ekf_step(q, g, a, m, dt, memory: dict | None = None, noises: Sequence[float]
     return q
 
 
-STEPS = {"angular rate": angular_rate_step, "ekf": ekf_step, "madgwick": madgwick_step, "mahony": mahony_step}
+STEPS = {"angular rate": angular_rate_step, "angular rate closed": closed_rate_step, "ekf": ekf_step, "madgwick": madgwick_step, "mahony": mahony_step}
 
 
 def run_ahrs(df: DataFrame, trial: Sequence[str], filters: Sequence[str] = AHRS, warm_up: int = 2000, segment: str = "segment") -> DataFrame:
@@ -298,7 +329,7 @@ def run_ahrs(df: DataFrame, trial: Sequence[str], filters: Sequence[str] = AHRS,
     The filter first sees sample 0 without rotation `warm_up` times; dt is the mean step. All segments of a trial are
     filtered together.
     """
-    if unknown := set(filters) - set(AHRS):
+    if unknown := set(filters) - set(STEPS):
         raise ValueError(f"unknown filters {sorted(unknown)}")
     trial = list(trial)
     need = df.select(*trial, segment, "i", "t", *[n for c in traces.CHANNELS for n in v.names(c)], *v.names("q", v.WXYZ))
@@ -331,4 +362,4 @@ def run_ahrs(df: DataFrame, trial: Sequence[str], filters: Sequence[str] = AHRS,
             out.append(made)
         return pd.concat(out)
 
-    return need.groupBy(*trial).applyInPandas(work, schema)
+    return _dealt(need, trial).groupBy(*trial).applyInPandas(work, schema)

@@ -310,3 +310,11 @@ SQL["holm"] = f"""WITH p AS (SELECT label AS trial, vec_id, abs(embedding[1]::DO
 
 # --- calibration sums ---
 SQL["wahba_sums"] = f"WITH {S} SELECT trial, count(*) AS n, " + ", ".join(f"{r(f'sum(gp{a} * gc{b})')} AS h{3 * i + j}" for i, a in enumerate(X) for j, b in enumerate(X)) + " FROM s GROUP BY 1"
+
+
+# --- files ---
+
+SQL["imu_files"] = f"WITH {S} SELECT trial, i, {r('t')} AS t, " + ", ".join(f"{r(f'{c}p{x}')} AS {c}{x}" for c in "gam" for x in X) + " FROM s"
+SQL["sto_files"] = f"WITH {S} " + " UNION ALL ".join(
+    f"SELECT trial, '{name}' AS segment, i, {r('t')} AS t, " + cols([r(e) for e in mat(f"q{side}")], [f"r{k}" for k in range(9)]) + " FROM s" for side, name in (("p", "parent"), ("c", "child"))
+)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from kinespark.functions import vectors as v
 from kinespark.functions.aggregates import pearson
 from kinespark.operators import calibration, derivatives, filters, joints, ranktests, resample, statistics, sync, synthetic, traces
-from kinespark.plans import views
+from kinespark.plans import study, views
 from kinespark.plans.views import rounded
+from kinespark.sources import text
+from kinespark.stages import new_folder, stored
 
 TRIAL = ["trial"]
 XYZ3 = ("x", "y", "z")
@@ -533,3 +535,41 @@ def synthetic_joint_axis(spark, sf_dir):
     base = synthetic.plate(spark, 1, 6.0, seed=5, noise=False)
     made = synthetic.pair(base, synthetic.child(base, "1dof", seed=5, noise=False))
     return rounded(calibration.fit_joints(made, TRIAL, "hinge", seed=2))
+
+
+# --- files ---
+
+
+def _trial_of(path: str):
+    return F.regexp_extract(path, r"/([0-9]+)\.[a-z]+$", 1).cast("int")
+
+
+@query
+def imu_files(spark, sf_dir):
+    """A sensor file for each trial, written and read again."""
+    folder = new_folder(spark, "imu")
+    text.write_imu(views.parent(views.sensor_view(spark, sf_dir)), folder)
+    back = text.read_imu(spark, folder)
+    return rounded(back.select(_trial_of("path").alias("trial"), "i", "t", *[n for c in traces.CHANNELS for n in v.names(c)]))
+
+
+@query
+def sto_files(spark, sf_dir):
+    """An orientation table of both segments for each trial, written and read again."""
+    folder = new_folder(spark, "sto")
+    df = views.sensor_view(spark, sf_dir)
+    sides = [views._side(df, s).select("trial", "i", "t", F.lit(name).alias("segment"), *v.names("q", v.WXYZ)) for s, name in (("p", "parent"), ("c", "child"))]
+    text.write_sto(sides[0].unionByName(sides[1]), folder)
+    back = v.bind(text.read_sto(spark, folder), r=v.matrix(v.quat("q")))
+    return rounded(back.select(_trial_of("path").alias("trial"), "segment", "i", "t", *v.names("r", "012345678")))
+
+
+# --- the study ---
+
+
+@query
+def study_error_stats(spark, sf_dir):
+    """From plates to the study's table: filters, chain, joint vectors, error statistics, on seeded motion."""
+    body = stored(synthetic.body(spark, 1, 3.0, seed=1), "plates")
+    found = study.joint_traces(study.orientations(body, ("mag on", "mag off"), ("mahony",)))
+    return rounded(study.error_tables(found)[0])

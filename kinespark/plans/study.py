@@ -1,4 +1,7 @@
-"""The study from plates to tables: orientations by every method, their export, and joint traces of all methods side by side."""
+"""The study from plates to tables: orientations by every method, their export, and joint traces of all methods side by side.
+
+Steps with long expressions end in a stored table, so that no plan holds the expressions of all steps.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from kinespark.functions import vectors as v
 from kinespark.operators import filters, joints, statistics, sync, traces
 from kinespark.sources import text
+from kinespark.stages import stored
 
 #: Rows of a trial's end that enter the tables.
 MOST_ROWS = 60_000
@@ -33,9 +37,9 @@ def orientations(plates: DataFrame, conditions: Sequence[str] = filters.CONDITIO
     keys = list(keys)
     out = plates.select(*keys, F.lit(TRUTH).alias("method"), "segment", "i", "t", *_Q)
     if conditions:
-        samples = traces.settled(joint_samples(plates, keys))
-        rel = filters.run_relative(filters.condition_inputs(samples, [*keys, "joint"], conditions), keys, ["joint", "condition"], settings)
-        rel = rel.withColumnRenamed("condition", "method")
+        samples = stored(joint_samples(plates, keys), "samples")
+        inputs = stored(filters.condition_inputs(samples, [*keys, "joint"], conditions), "inputs")
+        rel = stored(filters.run_relative(inputs, keys, ["joint", "condition"], settings), "joints").withColumnRenamed("condition", "method")
         roots = plates.select(*keys, "segment", "i", *_Q).withColumn("method", F.explode(F.array(*map(F.lit, conditions))))
         chained = joints.chain(rel.select(*keys, "method", "i", "joint", *_Q), roots, [*keys, "method"])
         times = plates.groupBy(*keys, "i").agg(F.min("t").alias("t"))
@@ -43,11 +47,11 @@ def orientations(plates: DataFrame, conditions: Sequence[str] = filters.CONDITIO
     if ahrs:
         by_filter = filters.run_ahrs(plates, keys, ahrs).withColumnRenamed("filter", "method")
         out = out.unionByName(by_filter.select(*keys, "method", "segment", "i", "t", *_Q))
-    return out
+    return stored(out, "orientations")
 
 
 def export(found: DataFrame, folder: str, key: str = "trial") -> None:
-    """A table file for each trial and method: <trial>_orientations_<method>."""
+    """A table file for each trial and method: <trial>_orientations_<method>.sto."""
     name = F.concat(F.col(key).cast("string"), F.lit("_orientations_"), F.replace(F.lower("method"), F.lit(" "), F.lit("_")))
     text.write_sto(found.where(F.col("method") != TRUTH).withColumn("__file", name), folder, "__file")
 
@@ -56,7 +60,7 @@ def joint_traces(found: DataFrame, keys: Sequence[str] = ("trial",), most: int =
     """(keys, method, joint, i, t, r*): rotation vectors of every joint by all methods, over the common tail of a trial."""
     keys = list(keys)
     common = traces.tail(found, [*keys, "method", "segment"], most, keys)
-    pairs = joints.joint_pairs(common, [*keys, "method"], _Q, joints.joint_table(found.sparkSession))
+    pairs = stored(joints.joint_pairs(common, [*keys, "method"], _Q, joints.joint_table(found.sparkSession)), "pairs")
     return joints.joint_vectors(pairs).select(*keys, "method", "joint", "i", "t", *v.names("r"))
 
 
@@ -74,4 +78,5 @@ def synchronised(imu: DataFrame, worlds: DataFrame, keys: Sequence[str] = ("tria
 def error_tables(joint_table: DataFrame, keys: Sequence[str] = ("trial",)) -> tuple[DataFrame, DataFrame]:
     """Statistics of errors, and correlations, by keys, joint, method and axis."""
     by = [*keys, "joint"]
+    joint_table = stored(joint_table, "vectors")
     return statistics.summary(statistics.error_long(joint_table, by), [*by, "method"]), statistics.correlation(joint_table, by)

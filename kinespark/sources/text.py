@@ -268,10 +268,39 @@ def sto_lines(df: DataFrame, trial: str = "trial", datatype: str = "Quaternion",
     return top.unionByName(body)
 
 
+def _write_lines(lines: DataFrame, folder: str, name: str, suffix: str) -> None:
+    """One file <folder>/<name><suffix> for each name, of its lines by n. Spark's writer makes a part file for each name,
+    whose lines are sorted in one task; the driver only renames these."""
+    spark = lines.sparkSession
+    jvm, parts = spark._jvm, f"{folder}/_parts"
+    lines.repartition(name).sortWithinPartitions(name, "n").select(name, "line").write.mode("overwrite").partitionBy(name).text(parts)
+    at = jvm.org.apache.hadoop.fs.Path(parts)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for under in files.listStatus(at):
+        if under.isDirectory():
+            own = [x.getPath() for x in files.listStatus(under.getPath()) if x.getPath().getName().startswith("part-")]
+            if len(own) != 1:
+                raise ValueError(f"{len(own)} part files in {under.getPath()}")
+            value = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(under.getPath().getName().split("=", 1)[1])
+            to = jvm.org.apache.hadoop.fs.Path(f"{folder}/{value}{suffix}")
+            files.delete(to, False)
+            files.rename(own[0], to)
+    files.delete(at, True)
+
+
 def write_sto(df: DataFrame, folder: str, trial: str = "trial") -> None:
-    """One file for each trial, <folder>/<trial>=.../part-*.txt, by Spark's writer: a trial's lines are sorted in one task."""
-    lines = sto_lines(df, trial).repartition(trial).sortWithinPartitions(trial, "n")
-    lines.select(trial, "line").write.mode("overwrite").partitionBy(trial).text(folder)
+    """A table file <folder>/<trial>.sto for each trial, from trial, segment, i, t, q*; segments stand by name."""
+    _write_lines(sto_lines(df, trial), folder, trial, ".sto")
+
+
+def write_imu(df: DataFrame, folder: str, name: str = "trial", rate: float = DEFAULT_RATE) -> None:
+    """A sensor file <folder>/<name>.txt for each trace, from name, i, g*, a*, m*, as read_imu reads it."""
+    cells = [n for c in ("a", "g", "m") for n in v.names(c)]
+    titles = ["PacketCounter", *(f"{p}_{x}" for p in ("Acc", "Gyr", "Mag") for x in "XYZ")]
+    head = ["// Start Time: Unknown", f"// Update Rate: {rate}Hz", "// Filter Profile: none", "// Option Flags: none", "// Firmware Version: none", "\t".join(titles)]
+    top = df.select(name).distinct().select(name, F.posexplode(F.array(*map(F.lit, head))).alias("n", "line")).withColumn("n", F.col("n").cast("long"))
+    body = df.select(name, (F.col("i") + len(head)).alias("n"), F.concat_ws("\t", F.col("i").cast("string"), *[F.col(c).cast("string") for c in cells]).alias("line"))
+    _write_lines(top.unionByName(body), folder, name, ".txt")
 
 
 # --- tables ----------------------------------------------------------------------------------------------------------
