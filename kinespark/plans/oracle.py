@@ -102,7 +102,7 @@ SQL["allclose"] = f"""WITH {S} SELECT trial, bool_and(abs(gpx - o) <= 1e-6 + 1e-
 SQL["trace_diff"] = f"WITH {S} SELECT trial, i, {r('t')} AS t, " + ", ".join(f"{r(f'{c}p{x} - {c}c{x}')} AS {c}{x}" for c in "gam" for x in X) + " FROM s"
 
 
-def _product(a: Sequence[str], b: Sequence[str], flip_a: bool = False, flip_b: bool = False) -> list[str]:
+def product(a: Sequence[str], b: Sequence[str], flip_a: bool = False, flip_b: bool = False) -> list[str]:
     """Matrix product of 3 x 3 cells, either side transposed if asked for."""
     at = lambda m, i, j, f: m[3 * j + i] if f else m[3 * i + j]
     return ["(" + " + ".join(f"{at(a, i, k, flip_a)}*{at(b, k, j, flip_b)}" for k in range(3)) + ")" for i in range(3) for j in range(3)]
@@ -112,12 +112,12 @@ _cells = [f"r{k}" for k in range(9)]
 _mq = lambda q: cols(mat(q), [f"{q}{k}" for k in range(9)])
 _two = f"{S}, m AS (SELECT *, {_mq('qp')}, {_mq('qc')} FROM s)"
 _p9, _c9 = [f"qp{k}" for k in range(9)], [f"qc{k}" for k in range(9)]
-SQL["world_diff"] = f"WITH {_two} SELECT trial, i, " + ", ".join(f"{r(f'pp{x} - pc{x}')} AS p{x}" for x in X) + ", " + ", ".join(f"{r(e)} AS r{k}" for k, e in enumerate(_product(_p9, _c9, flip_b=True))) + " FROM m"
+SQL["world_diff"] = f"WITH {_two} SELECT trial, i, " + ", ".join(f"{r(f'pp{x} - pc{x}')} AS p{x}" for x in X) + ", " + ", ".join(f"{r(e)} AS r{k}" for k, e in enumerate(product(_p9, _c9, flip_b=True))) + " FROM m"
 _turn = ["0e0", "-1e0", "0e0", "1e0", "0e0", "0e0", "0e0", "0e0", "1e0"]
-SQL["rigid_transform"] = f"WITH {_two} SELECT trial, i, {r('1 - ppy')} AS px, {r('2 + ppx')} AS py, {r('3 + ppz')} AS pz, " + ", ".join(f"{r(e)} AS r{k}" for k, e in enumerate(_product(_turn, _p9))) + " FROM m"
+SQL["rigid_transform"] = f"WITH {_two} SELECT trial, i, {r('1 - ppy')} AS px, {r('2 + ppx')} AS py, {r('3 + ppz')} AS pz, " + ", ".join(f"{r(e)} AS r{k}" for k, e in enumerate(product(_turn, _p9))) + " FROM m"
 SQL["world_frame_rotate"] = f"WITH {_two} SELECT trial, i, " + ", ".join(f"{r(e)} AS {c}{x}" for c in "gam" for x, e in zip(X, times(_p9, vec(f"{c}p")), strict=True)) + " FROM m"
 SQL["right_rotate"] = f"WITH {_two} SELECT trial, i, " + ", ".join(f"{r(e)} AS g{x}" for x, e in zip(X, times(_p9, vec("gp"), True), strict=True)) + " FROM m"
-_rel = _product(_p9, _c9, flip_a=True)
+_rel = product(_p9, _c9, flip_a=True)
 _trace = f"({_rel[0]} + {_rel[4]} + {_rel[8]})"
 _cosine = f"greatest(-1e0, least(1e0, ({_trace} - 1e0) / 2e0))"
 SQL["rotvec_error"] = f"WITH {_two} SELECT trial, i, {r(f'degrees(acos({_cosine}))')} AS error_deg FROM m"
@@ -128,13 +128,13 @@ _na, _nb = f"sqrt({dot(vec('gp'), vec('gp'))})", f"sqrt({dot(vec('gc'), vec('gc'
 SQL["gyro_angle_error"] = f"WITH {S} SELECT trial, i, {r(f'acos(greatest(-1e0, least(1e0, {dot(vec("gp"), vec("gc"))} / ({_na} * {_nb}))))')} AS angle FROM s"
 
 
-def _observed(s: str) -> str:
-    d = [f"(a{s}{x} - lag(a{s}{x}) OVER w)" for x in X]
-    da = [f"({a} + {b})" for a, b in zip(d, cross(vec(f"g{s}"), vec(f"a{s}")), strict=True)]
+def observed(s: str, acc: str = "a") -> str:
+    d = [f"({acc}{s}{x} - lag({acc}{s}{x}) OVER w)" for x in X]
+    da = [f"({a} + {b})" for a, b in zip(d, cross(vec(f"g{s}"), vec(f"{acc}{s}")), strict=True)]
     return cols(da, [f"d{s}{x}" for x in X])
 
 
-_obs = f"""{S}, d AS (SELECT *, {_observed('p')}, {_observed('c')} FROM s WINDOW w AS (PARTITION BY trial ORDER BY i)),
+_obs = f"""{S}, d AS (SELECT *, {observed('p')}, {observed('c')} FROM s WINDOW w AS (PARTITION BY trial ORDER BY i)),
 o AS (SELECT *, {cols(cross(vec('ap'), vec('dp')), vec('op'))}, {cols(cross(vec('ac'), vec('dc')), vec('oc'))} FROM d),
 ob AS (SELECT *, coalesce(sqrt({dot(vec('op'), vec('op'))}), 0e0) AS obp, coalesce(sqrt({dot(vec('oc'), vec('oc'))}), 0e0) AS obc FROM o)"""
 _masked = ", ".join(f"{r(f'CASE WHEN least(obp, obc) > 0.03e0 THEN 0e0 ELSE {m}{x} END')} AS {m}{x}" for m in ("mp", "mc") for x in X)
@@ -168,7 +168,7 @@ _unitc = ", ".join(f"r{name}_{c}/sqrt({' + '.join(f'r{name}_{d}*r{name}_{d}' for
 _matc = ", ".join(cols(mat(f"{name}_"), [f"{name}_m{k}" for k in range(9)]) for name in _quat_at)
 _chain = f"c0 AS (SELECT label AS trial, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, {_rawc} FROM embeddings), c1 AS (SELECT trial, i, {_unitc} FROM c0), c2 AS (SELECT trial, i, {_matc} FROM c1)"
 for _k, (_j, (_p, _c)) in enumerate(JOINTS.items()):
-    _chain += f", c{_k + 3} AS (SELECT *, {cols(_product([f'{_p}_m{x}' for x in range(9)], [f'{_j}_m{x}' for x in range(9)]), [f'{_c}_m{x}' for x in range(9)])} FROM c{_k + 2})"
+    _chain += f", c{_k + 3} AS (SELECT *, {cols(product([f'{_p}_m{x}' for x in range(9)], [f'{_j}_m{x}' for x in range(9)]), [f'{_c}_m{x}' for x in range(9)])} FROM c{_k + 2})"
 _last = f"c{len(JOINTS) + 2}"
 SQL["kinematic_chain"] = f"WITH {_chain} " + " UNION ALL ".join(f"SELECT trial, i, '{s}' AS segment, " + ", ".join(f"{r(f'{s}_m{k}', 5)} AS r{k}" for k in range(9)) + f" FROM {_last}" for s in ["pelvis_imu", *[c for _, c in JOINTS.values()]])
 
@@ -213,7 +213,7 @@ def poly(source: str, keys: str, value: str, out: str) -> str:
 SQL["polyfit_derivative"] = f"WITH {E} SELECT user_id, i, {r('degrees(slope)', 3)} AS slope FROM {poly('e', 'user_id', 'value', 'slope')}"
 _w = "WINDOW w AS (PARTITION BY trial ORDER BY i)"
 _n9 = [f"n{k}" for k in range(9)]
-_step = f"{_two}, nx AS (SELECT *, {cols([f'lead({c}) OVER w' for c in _p9], _n9)} FROM m {_w}), st AS (SELECT trial, i, {cols(_product(_p9, _n9, flip_a=True), _cells)} FROM nx), an AS (SELECT *, acos(greatest(-1e0, least(1e0, (r0 + r4 + r8 - 1e0) / 2e0))) AS a FROM st), om AS (SELECT trial, i, {cols([f'a / (2e0 * sin(a)) * ({e}) / 0.01e0' for e in ('r7 - r5', 'r2 - r6', 'r3 - r1')], vec('g'))} FROM an)"
+_step = f"{_two}, nx AS (SELECT *, {cols([f'lead({c}) OVER w' for c in _p9], _n9)} FROM m {_w}), st AS (SELECT trial, i, {cols(product(_p9, _n9, flip_a=True), _cells)} FROM nx), an AS (SELECT *, acos(greatest(-1e0, least(1e0, (r0 + r4 + r8 - 1e0) / 2e0))) AS a FROM st), om AS (SELECT trial, i, {cols([f'a / (2e0 * sin(a)) * ({e}) / 0.01e0' for e in ('r7 - r5', 'r2 - r6', 'r3 - r1')], vec('g'))} FROM an)"
 SQL["fd_rotations"] = f"WITH {_step} SELECT trial, i, " + ", ".join(f"{r(f'coalesce(g{x}, lag(g{x}) OVER w)', 4)} AS g{x}" for x in X) + f" FROM om {_w}"
 
 

@@ -4,13 +4,16 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kinespark.plans.oracle import SQL
+from pyspark.sql import functions as F
+
+from kinespark.operators import filters
+from kinespark.plans import oracle_steps, views
+from kinespark.plans.oracle import SQL as PLAIN_SQL
 from kinespark.plans.queries import QUERIES
 from tests.conftest import DATA
 
 SF = f"{DATA}/sf0.001"
-#: Iterative or warmed-up operators that have tests of their own.
-SLOW = {"ahrs_ekf", "madgwick", "mahony", "angular_rate"}
+SQL = {**PLAIN_SQL, **oracle_steps.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -37,8 +40,16 @@ def test_same_as_sql(spark, duck, name):
         assert same.all(), (c, got[c][~same].head(2).tolist(), want[c][~same].head(2).tolist())
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns
     assert df.count() > 0 or name == "significant_pairs"
+
+
+@pytest.mark.parametrize("warm_up", [0, 20])
+def test_madgwick_same_as_sql(spark, duck, warm_up):
+    df = views.parent(views.sensor_view(spark, SF)).withColumn("segment", F.lit("parent"))
+    got = tidy(views.rounded(filters.run_ahrs(df, ["trial"], ["madgwick"], warm_up)).toPandas())
+    want = tidy(duck.execute(oracle_steps.ahrs(*oracle_steps.MADGWICK, warm_up=warm_up)).df())
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=0, atol=2e-6)
