@@ -63,7 +63,6 @@ def polyfit(df: DataFrame, keys: Sequence[str], columns: dict[str, str], dt: flo
     coefficients, the second averages them at each row; both stay in generated code. Fewer rows than a window is an
     error. dt is the step, by default the trace's mean step.
     """
-    w = by(keys)
     size = F.count("*").over(whole(keys))
     if dt is None:
         dt = (F.max(t).over(whole(keys)) - F.min(t).over(whole(keys))) / F.nullif(size - 1, F.lit(0))
@@ -72,28 +71,20 @@ def polyfit(df: DataFrame, keys: Sequence[str], columns: dict[str, str], dt: flo
     u = np.arange(window) - (window - 1) / 2
     basis, _ = np.linalg.qr(np.vander(u, order + 1, increasing=True))  # orthonormal polynomials at the rows
     slope = _fit_rows(order, window, derivative) @ basis
-    coefficients: dict[str, Column] = {}
-    for o, c in columns.items():
-        for k in range(order + 1):
-            if np.abs(slope[:, k]).max() > 1e-12:
-                terms = [float(basis[j, k]) * (F.col(c) if j == 0 else F.lead(c, j).over(w)) for j in range(window) if abs(basis[j, k]) > 1e-14]
-                total = terms[0]
-                for x in terms[1:]:
-                    total = total + x
-                coefficients[f"__{o}{k}"] = total
+    used = [k for k in range(order + 1) if np.abs(slope[:, k]).max() > 1e-12]
+    # hundreds of terms: as text they are one call to the JVM for each column, not several for each term
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    over = f"OVER ({f'PARTITION BY {", ".join(map(quoted, keys))} ' * bool(keys)}ORDER BY i)"
+    moved = lambda f, c, j: f"{f}({quoted(c)}, {j}) {over}" if j else quoted(c)
+    times = lambda x, e: f"{float(x)!r}D * {e}"
+    coefficients = {f"__{o}{k}": F.expr(" + ".join(times(basis[j, k], moved("lead", c, j)) for j in range(window) if abs(basis[j, k]) > 1e-14)) for o, c in columns.items() for k in used}
     df = df.withColumns(coefficients)
+    runs = f"(least(i, __n - {window}) - greatest(0, i - {window - 1}) + 1)"
     out: dict[str, Column] = {}
-    for o in columns:
-        total: Column = F.lit(0.0)
-        for j in range(window):  # the run that begins j rows earlier
-            ks = [k for k in range(order + 1) if f"__{o}{k}" in coefficients]
-            part: Column = F.lit(0.0)
-            for k in ks:
-                part = part + float(slope[j, k]) * (F.col(f"__{o}{k}") if j == 0 else F.lag(f"__{o}{k}", j).over(w))
-            exists = (F.col("i") >= j) & (F.col("i") - j + window <= F.col("__n"))
-            total = total + F.when(exists, part).otherwise(0.0)
-        runs = F.least(F.col("i"), F.col("__n") - window) - F.greatest(F.lit(0), F.col("i") - (window - 1)) + 1
-        out[o] = total / runs / F.pow("__dt", F.lit(derivative))
+    for o in columns:  # over the runs that begin j rows earlier, where there is one
+        parts = [" + ".join(["0D", *(times(slope[j, k], moved("lag", f"__{o}{k}", j)) for k in used)]) for j in range(window)]
+        held = [f"CASE WHEN i >= {j} AND i - {j} + {window} <= __n THEN {part} ELSE 0D END" for j, part in enumerate(parts)]
+        out[o] = F.expr(f"({' + '.join(held)}) / {runs} / power(__dt, {derivative}D)")
     return df.withColumns(out).drop("__n", "__dt", *coefficients)
 
 
