@@ -25,11 +25,6 @@ def whole(keys: Sequence[str]):
     return Window.partitionBy(*keys)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows behind a step that the optimizer does not look through: expressions of expressions would grow without end."""
-    return df.mapInArrow(lambda batches: batches, df.schema)
-
-
 def slice_rows(df: DataFrame, keys: Sequence[str], start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
     """Rows start:stop:step of each trace, numbered anew; bounds below 0 count from the end, steps must be positive."""
     if step < 1:
