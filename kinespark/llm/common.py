@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch: a worker holds a batch or two and what it makes of them, however long texts are.
 BATCH_BYTES = 8 << 20
+#: Spark's default for spark.sql.files.openCostInBytes, and the bytes that are worth a task of their own below it.
+OPEN_BYTES = 4 << 20
+TASK_BYTES = 1 << 19
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,9 +64,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Deal the rows of a small table to all cores, where its files would make fewer tasks than there are cores.
+
+    Spark cuts no file below OPEN_BYTES and no Parquet row group at all, so a scan of less than that a core leaves cores
+    idle. Only such tables are shuffled, which bounds the shuffle; larger ones, and plans of unknown size, stay as they
+    are. The size is that of `like`, a plan that df's columns are taken from, if given.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(2 * cores, -(-size // TASK_BYTES))
+    return df.repartition(n) if 1 < n and size < OPEN_BYTES * cores else df
+
+
 def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, whatever other columns there are."""
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return spread(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), df)
 
 
 def fold(id_col: str, n: int):
@@ -84,4 +100,4 @@ def filter_rows(documents: DataFrame, text_col: str, keep) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
-    return documents.mapInArrow(work, documents.schema)
+    return spread(documents).mapInArrow(work, documents.schema)

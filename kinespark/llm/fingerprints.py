@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import cut
+from kinespark.llm.common import cut, keyed_text
 
 K = 128
 SHINGLE = 5
@@ -129,8 +129,8 @@ def fingerprint_documents(documents: DataFrame, *, id_col: str = "doc_id", text_
     of a shorter one). A row for each row of documents; null texts count as empty; an empty text has an empty
     fingerprint, like 1 to another empty one and 0 to the rest; a single document is its own next.
     """
-    rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch", k, n), "id", "text", also=("sketch",))
+    rows = keyed_text(documents, id_col, text_col)
+    rows = with_next(with_sketch(rows, "text", "sketch", k, n), "doc_id", "text", also=("sketch",))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import fold, keyed_text, small_batches
+from kinespark.llm.common import fold, keyed_text, small_batches, spread
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -105,7 +105,7 @@ def train(documents: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id
             at = np.flatnonzero(c[:BUCKETS])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[docs[lang], c[at]], pa.int64())], names=["lang", "bucket", "n"])
 
-    sums = rows.select("text", "lang").mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = spread(rows.select("text", "lang"), documents).mapInArrow(work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     names, buckets, n = found.column("lang").combine_chunks().dictionary_encode(), found.column("bucket").to_numpy(), found.column("n").to_numpy()
     known = names.dictionary.to_pylist()

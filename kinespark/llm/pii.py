@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinespark.llm.common import keyed_text, small_batches
+from kinespark.llm.common import keyed_text, small_batches, spread
 
 #: Kinds in the order of the digests; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account", "secret", "ipv6")
@@ -259,4 +259,4 @@ def redact_column(documents: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([t if t is None else redact(t, spans(t)) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == at else batch.column(k) for k in range(batch.num_columns)], names=batch.schema.names)
 
-    return documents.mapInArrow(work, documents.schema)
+    return spread(documents).mapInArrow(work, documents.schema)
