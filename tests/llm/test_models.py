@@ -146,6 +146,41 @@ def test_long_conversations_are_whole(spark):
     assert sorted(map(tuple, chat.expanded(short).collect())) == sorted(map(tuple, chat.expanded(chat.format_conversations(df)).collect())) == whole
 
 
+@pytest.mark.parametrize("how", [{}, {"inline": 0}, {"inline": 50}])
+def test_examples_have_one_form_at_every_size(spark, how):
+    """What an example's text repeats of the turns before is one rule for a short conversation and one of 12.8 million code points."""
+    turns = [(c, k, ("user", "assistant")[k % 2], "é<|" * n) for c, n in ((1, 3), (2, 400_000)) for k in range(8)]
+    want, whole, end = [], "", 0
+    for c, k, role, text in turns:
+        if k == 0:
+            whole, end = "", 0
+        whole += f"<|im_start|>{role}\n{chat.escape(text)}<|im_end|>\n"
+        if role == "assistant":
+            start = max(end - how["inline"], 0) if how else 0
+            to = len(whole) - len("<|im_end|>\n")
+            want.append((c, k // 2, k + 1, start, whole[start:], to - len(chat.escape(text)), to))
+            end = len(whole)
+    df = spark.createDataFrame(turns[::-1], "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, chat.format_conversations(df, **how).collect()))
+    assert [(*g[:4], len(g[4]), *g[5:]) for g in got] == [(*w[:4], len(w[4]), *w[5:]) for w in want]
+    assert all(g[4] == w[4] for g, w in zip(got, want, strict=True))
+
+
+def test_the_query_writes_each_turn_once_at_every_size(spark, tmp_path, monkeypatch):
+    """op9_chat equals its SQL, and its examples are in proportion to a conversation, be it short, of many turns or of large ones."""
+    sizes = {1: (6, 5), 2: (600, 900), 3: (7, 700_000)}  # turns and code points of a turn
+    turns = [(c, k, ("user", "assistant")[k % 2], "<|é" * (size // 3)) for c, (n, size) in sizes.items() for k in range(n)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen, real = [], chat.read_back
+    monkeypatch.setattr(chat, "read_back", lambda examples, **how: seen.append(examples) or real(examples, **how))
+    got = sorted(map(tuple, queries.op9_chat(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.ORACLE_SQL["op9_chat"]).fetchall())
+    stored = seen[0].groupBy("conv_id").agg(F.sum(F.length("text")), F.max(F.col("text_from") + F.length("text"))).collect()
+    assert {c for c, _, _ in stored} == {-1, 1, 2, 3} and all(written == size for _, written, size in stored)
+
+
 def test_odd_conversations(spark):
     rows = [(1, 0, None, None), (1, None, "assistant", "early"), (None, 0, "assistant", "x"), (2, 1, "user", "t"), (2, 1, "user", "t")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
